@@ -13,13 +13,14 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pieces and pairs that a worker remembers before it starts afresh.
-MEMORY = 400_000
+#: Distinct pieces (some 250 bytes each), prefixes and pairs that a worker remembers before it starts afresh.
+MEMORY, PREFIXES, PAIRS = 1_000_000, 300_000, 1_600_000
 #: Pieces handled at once; bounds memory for very long texts.
 CHUNK = 50_000
 #: Largest vocabulary file that is broadcast.
@@ -42,7 +43,9 @@ class Vocabulary:
         self._left: dict[int, list[tuple[bytes, int]]] = {}
         self._right: dict[int, list[tuple[bytes, int]]] = {}
         self._halves: dict[int, tuple[bytes, ...]] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._prefixes: dict[bytes, list[int]] = {}
+        self._pairs: dict[int, bool] = {}
+        self._decimals = {rank: str(rank) for rank in self.bytes_of}
 
     @classmethod
     def load(cls, data: bytes) -> Vocabulary:
@@ -89,17 +92,17 @@ class Vocabulary:
         They do not if parts facing each other at their border would merge before either is taken up in its own
         token; of equal ranks the left merge comes first.
         """
-        key = (first, second)
+        key = first << 32 | second
         known = self._pairs.get(key)
         if known is None:
             ranks = self.ranks
-            known = True
+            known = self.reachable(second)
             for a, a_ends in self._edge(first, 1):
                 for b, b_ends in self._edge(second, 0):
                     merged = ranks.get(a + b)
                     if merged is not None and merged < a_ends and merged <= b_ends:
                         known = False
-            if len(self._pairs) > 4 * MEMORY:
+            if len(self._pairs) > PAIRS:
                 self._pairs.clear()
             self._pairs[key] = known
         return known
@@ -112,25 +115,39 @@ class Vocabulary:
             if token is None:
                 break
             if token >= 0:
-                found.append((token, start))
-        for token, start in reversed(found):
+                found.append((start, token))
+        # unreachable tokens are not compatible with anything; see compatible()
+        while found:
+            start, token = found.pop()
             if start:
-                stays = pairs.get((table[start], token))
-                if stays is None:
-                    stays = self.compatible(table[start], token)
-                if not stays:
-                    continue
-            if self.reachable(token):
+                before = table[start]
+                stays = pairs.get(before << 32 | token)
+                if stays or stays is None and self.compatible(before, token):
+                    return token
+            elif self.reachable(token):
                 return token
         raise AssertionError("every prefix has an encoding")
 
     def table(self, piece: bytes, known: list[int] | None = None) -> list[int]:
         """Entry k: last token of the first k bytes (entry 0 is unused). ``known``: entries of a common prefix."""
-        table = list(known) if known else [-1]
+        table, last = list(known) if known else [-1], self.last_token
         for end in range(len(table), len(piece) + 1):
-            table.append(self.last_token(piece, end, table))
+            table.append(last(piece, end, table))
         return table
 
+    def shared_table(self, piece: bytes) -> list[int]:
+        """table() of the piece; entries of its prefixes of 4, 8, 12, ... bytes are kept for other pieces."""
+        size = (len(piece) - 1) // 4 * 4
+        if size <= 0:
+            return self.table(piece)
+        prefix = piece[:size]
+        known = self._prefixes.get(prefix)
+        if known is None:
+            if len(self._prefixes) >= PREFIXES:
+                self._prefixes.clear()
+            known = self._prefixes[prefix] = self.shared_table(prefix) if size < 64 else self.table(prefix)
+        return self.table(piece, known)
+
     def read(self, table: list[int]) -> tuple[int, ...]:
         out, end = [], len(table) - 1
         while end:
@@ -141,7 +158,7 @@ class Vocabulary:
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """A piece that is itself a token stays whole, whether or not merges reach it."""
         whole = self.ranks.get(piece)
-        return (whole,) if whole is not None else self.read(self.table(piece))
+        return (whole,) if whole is not None else self.read(self.shared_table(piece))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -182,6 +199,20 @@ class Piece:
         return done
 
 
+class _Pieces(dict):
+    """Ids of pieces, worked out when first asked for."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) >= MEMORY:
+            self.clear()
+        got = self[piece] = self.vocabulary.encode_piece(piece.encode("utf-8", "surrogatepass"))
+        return got
+
+
 class Codec:
     """Whole texts: pre-tokens by a pattern, each encoded separately, with the results of frequent pieces kept."""
 
@@ -189,23 +220,15 @@ class Codec:
         import regex
 
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Pieces(vocabulary)
 
     def _chunks(self, text: str) -> Iterator[list[int]]:
-        known, encode, ids = self.known, self.vocabulary.encode_piece, []
-        for count, found in enumerate(self.pattern.finditer(text), 1):
-            piece = found.group()
-            got = known.get(piece)
-            if got is None:
-                got = encode(piece.encode("utf-8", "surrogatepass"))
-                if len(known) >= MEMORY:
-                    known.clear()
-                known[piece] = got
-            ids += got
-            if count % CHUNK == 0:
-                yield ids
-                ids = []
-        yield ids
+        if len(text) <= CHUNK:
+            yield list(chain.from_iterable(map(self.known.__getitem__, self.pattern.findall(text))))
+            return
+        found = self.pattern.finditer(text)
+        while some := [m.group() for m in islice(found, CHUNK)]:
+            yield list(chain.from_iterable(map(self.known.__getitem__, some)))
 
     def encode(self, text: str | None) -> list[int]:
         return [i for chunk in self._chunks(text or "") for i in chunk]
@@ -222,7 +245,7 @@ class Codec:
         count, ids_hash, bytes_hash = 0, hashlib.sha256(), hashlib.sha256()
         for ids in self._chunks(text or ""):
             if ids:
-                ids_hash.update((("," if count else "") + ",".join(map(str, ids))).encode())
+                ids_hash.update((("," if count else "") + ",".join(map(self.vocabulary._decimals.__getitem__, ids))).encode())
                 bytes_hash.update(self.vocabulary.decode(ids))
                 count += len(ids)
         return count, ids_hash.hexdigest(), bytes_hash.hexdigest()
