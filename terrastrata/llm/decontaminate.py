@@ -166,6 +166,28 @@ def _parts(benchmark: DataFrame, item_id: str, item_text: str, max_words: int) -
         yield part
 
 
+def _found(sent, threshold: float, overlap: float, kind: str):
+    @F.pandas_udf(f"array<struct<item_id:{kind},score:double,question_overlap:double,answer_overlap:double>>")
+    def run(texts: pd.Series) -> pd.Series:
+        index = sent.value
+        found = []
+        for t in texts:
+            some = [m for m in index.matches(t, threshold) if min(m[2], m[3]) >= overlap]
+            found.append([{"item_id": index.ids[i], "score": s, "question_overlap": q, "answer_overlap": a} for i, s, q, a in some])
+        return pd.Series(found)
+
+    return run
+
+
+def _clean(sent, threshold: float, overlap: float):
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        index = sent.value
+        return pd.Series([not any(min(m[2], m[3]) >= overlap for m in index.matches(t, threshold)) for t in texts], dtype=bool)
+
+    return run
+
+
 def matches(
     docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, doc_id: str = "doc_id", text: str = "text",
     item_id: str = "item_id", item_text: str = "text", max_index_words: int = MAX_INDEX_WORDS,
@@ -179,17 +201,7 @@ def matches(
     out = None
     for part in _parts(benchmark, item_id, item_text, max_index_words):
         sent = docs.sparkSession.sparkContext.broadcast(Index(part))
-
-        @F.pandas_udf(f"array<struct<item_id:{kind},score:double,question_overlap:double,answer_overlap:double>>")
-        def run(texts: pd.Series, sent=sent) -> pd.Series:
-            index = sent.value
-            found = []
-            for t in texts:
-                some = [m for m in index.matches(t, threshold) if min(m[2], m[3]) >= overlap]
-                found.append([{"item_id": index.ids[i], "score": s, "question_overlap": q, "answer_overlap": a} for i, s, q, a in some])
-            return pd.Series(found)
-
-        one = rows.select("doc_id", F.explode(run("text")).alias("m")).select("doc_id", "m.*")
+        one = rows.select("doc_id", F.explode(_found(sent, threshold, overlap, kind)("text")).alias("m")).select("doc_id", "m.*")
         out = one if out is None else out.unionByName(one)
     if out is None:
         schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id {kind}, score double, question_overlap double, answer_overlap double"
@@ -202,11 +214,5 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.
     kept = docs
     for part in _parts(benchmark, benchmark.columns[0], item_text, max_index_words):
         sent = docs.sparkSession.sparkContext.broadcast(Index(part))
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, sent=sent) -> pd.Series:
-            index = sent.value
-            return pd.Series([not any(min(m[2], m[3]) >= overlap for m in index.matches(t, threshold)) for t in texts], dtype=bool)
-
-        kept = kept.where(clean(F.col(f"`{text}`")))
+        kept = kept.where(_clean(sent, threshold, overlap)(F.col(f"`{text}`")))
     return kept

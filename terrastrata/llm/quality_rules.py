@@ -108,7 +108,7 @@ def judge(
     )
 
 
-def quality_rules(docs: DataFrame, target_ids: DataFrame, threshold: float = -0.2, buckets: int = BUCKETS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, target_ids: DataFrame, threshold: float = -0.05, buckets: int = BUCKETS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """judge() over all rows; the target is the rows whose doc_id is in the first column of ``target_ids``."""
     ids = target_ids.select(F.col(f"`{target_ids.columns[0]}`").alias("target__")).distinct()
     target = packed(docs, doc_id, text).drop("row__")

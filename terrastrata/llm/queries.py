@@ -1,21 +1,64 @@
-"""The registered queries of this subpackage; each reads whole tables."""
+"""The registered queries of this subpackage; each reads whole tables with production parameters."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, substring
+from . import bpe, decontaminate, line_dedup, quality_rules, secrets, simhash, substring, toxicity, url_filters, weak_quality
+
+#: The rules of the url query, each with its verdict.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+#: Listed domains.
+LISTED_DOMAINS = [
+    f"{name}.example.{top}"
+    for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+    for top in ("com", "net", "org")
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), trusted)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.classify(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(d,) for d in LISTED_DOMAINS], "domain string")
+    return url_filters.judge(_table(spark, sf_dir, "pages"), listed, URL_RULES)
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,8 +70,24 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-def queries() -> dict:
-    return {
-        f.__name__: f
-        for f in (op4_simhash_near_dedup, op8_byte_bpe, op9_substring_dedup)
-    }
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"), dropped="n_dropped")
+    return kept.select("doc_id", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
+    own = (
+        op1_quality_rules,
+        op2_toxicity,
+        op3_quality_classifier,
+        op4_simhash_near_dedup,
+        op5_secret_scans,
+        op6_url_filters,
+        op7_benchmark_decontamination,
+        op8_byte_bpe,
+        op9_substring_dedup,
+        op10_line_dedup,
+    )
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}

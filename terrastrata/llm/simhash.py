@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from .components import connected_components
-from .text import byte_words
+from .text import byte_words, packed
 
 #: Shingles hashed at once, so that a very long text needs no more memory.
 SHINGLES_AT_ONCE = 1 << 16
@@ -205,16 +205,37 @@ def linked_fingerprints(distinct: DataFrame, budget: int = 4, part_size: int = 2
     return rows.mapInPandas(_links(budget, widths), "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, budget: int = 4, part_size: int = 2048
-) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links, for each row."""
-    prints = checkpointed(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprint(F.col(f"`{text}`"), shingle, seed).alias("fp")))
+def _components(prints: DataFrame, budget: int, part_size: int) -> DataFrame:
+    """fp and component_id of each fingerprint in prints (doc_id, fp)."""
     smallest = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(linked_fingerprints(smallest.select("fp"), budget, part_size)).withColumnRenamed("node", "fp")
     linked = checkpointed(smallest.join(roots, "fp"))
     of_root = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     component = linked.join(of_root, "root").select("fp", "component_id")
-    component = smallest.join(component, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    return smallest.join(component, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+
+
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, budget: int = 4, part_size: int = 2048
+) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links, for each row."""
+    prints = checkpointed(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprint(F.col(f"`{text}`"), shingle, seed).alias("fp")))
+    component = checkpointed(_components(prints, budget, part_size))
     out = prints.join(component, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_group(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, budget: int = 4, part_size: int = 2048
+) -> DataFrame:
+    """The rows, with all their columns, whose doc_id is the smallest of their component; of repeated rows one.
+
+    Rows without a doc_id stay only in components in which no row has one. Texts without words share fingerprint zero and are one
+    group: they say nothing of being copies, so all of them stay.
+    """
+    prints = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    prints = checkpointed(prints.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", fingerprint(F.col("text"), shingle, seed).alias("fp")))
+    component = _components(prints, budget, part_size)
+    dropped = prints.join(component, "fp").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    rows = packed(docs, doc_id).withColumnRenamed(doc_id, "id__")
+    return rows.join(dropped, F.col("id__").eqNullSafe(F.col("doc_id")), "left_anti").select("row__.*")

@@ -6,7 +6,7 @@ the full window is repeated, so is its chosen half. Halves found in one document
 surviving ones to the full length and keeps, for each window, the smallest doc_id in which it starts; longer levels
 (``levels``) go on doubling until no candidate survives.
 
-Windows are told apart by 96 bits of two independent polynomial hashes over the words' own 128-bit hashes.
+Windows are told apart by 96 bits of two polynomial hashes over the words' own 64-bit hashes.
 A null text has no words. A null doc_id comes after all others. Repeated rows stay repeated: a row is never repeated
 by a row of the same doc_id. Texts shorter than a window are kept whole.
 """
@@ -14,6 +14,7 @@ by a row of the same doc_id. Texts shorter than a window are kept whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,28 +22,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .text import byte_words
+from .text import byte_words, packed
 
 #: Distinct words that a worker remembers before it starts afresh.
 MEMORY = 1 << 20
-_B = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 LAST = (1 << 63) - 1
-_known: dict[bytes, tuple[int, int]] = {}
 
 
-def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    import xxhash
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
 
-    if len(_known) > MEMORY:
-        _known.clear()
-    out = np.empty((len(words), 2), np.uint64)
-    for k, w in enumerate(words):
-        got = _known.get(w)
-        if got is None:
-            h = xxhash.xxh3_128_intdigest(w)
-            got = _known[w] = (h >> 64, h & 0xFFFFFFFFFFFFFFFF)
-        out[k] = got
-    return out[:, 0].copy(), out[:, 1].copy()
+        if len(self) >= MEMORY:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        return got
+
+
+_known = _Hashes()
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+
+
+@lru_cache(maxsize=4)
+def _powers(base: int, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << bits) - 1, base, np.uint64)]), dtype=np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -55,21 +63,23 @@ def _windows(words: np.ndarray, size: int, which: int) -> np.ndarray:
     """Mixed polynomial hash, modulo 2**64, of each run of ``size`` word hashes."""
     if len(words) < size:
         return np.empty(0, np.uint64)
-    base = _B[which]
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
+    base, bits = _BASES[which], max(12, len(words).bit_length())
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words), base)]), dtype=np.uint64)
-        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words) - size, inverse)]), dtype=np.uint64)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(words * powers[:-1], dtype=np.uint64)])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(words * _powers(base, bits)[: len(words)], dtype=np.uint64)])
+        back = _powers(pow(base, -1, 1 << 64), bits)[: len(words) - size + 1]
         return _mixed((sums[size:] - sums[:-size]) * back)
 
 
-def _chosen(half: np.ndarray, run: int) -> np.ndarray:
-    """For each full window, the place of the first smallest hash among its ``run`` half windows."""
+def _smallest(half: np.ndarray, run: int) -> np.ndarray:
+    """The smallest hash in each run of ``run`` half windows: one for each full window."""
     if len(half) < run:
-        return np.empty(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(half, run)
-    return np.concatenate([views[k : k + 4096].argmin(axis=1) + np.arange(k, min(k + 4096, len(views))) for k in range(0, len(views), 4096)])
+        return np.empty(0, np.uint64)
+    low, size = half, 1
+    while size < run:
+        step = min(size, run - size)
+        low = np.minimum(low[:-step], low[step:])
+        size += step
+    return low
 
 
 def _halves(window: int):
@@ -82,8 +92,7 @@ def _halves(window: int):
                 words = byte_words(text)
                 if len(words) < window:
                     continue
-                half = _windows(_hashes(words)[0], window // 2, 0)
-                got = np.unique(half[np.unique(_chosen(half, window - window // 2 + 1))])
+                got = np.unique(_smallest(_windows(_hashes(words), window // 2, 0), window - window // 2 + 1))
                 tags.append(np.full(len(got), tag, np.int64))
                 parts.append(got)
             if tags:
@@ -92,18 +101,31 @@ def _halves(window: int):
     return run
 
 
+def _keys(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits that tell windows apart."""
+    with np.errstate(over="ignore"):
+        second = _mixed(words * np.uint64(_BASES[0])) >> np.uint64(1)
+    low = (_windows(second, window, 1) >> np.uint64(32)).astype(np.uint32)
+    return _windows(words, window, 0).view(np.int64), low.view(np.int32)
+
+
 def _extended(window: int):
-    """Windows of full length whose chosen half is repeated: where they start, and 96 bits that tell them apart."""
+    """The distinct windows of full length of each text whose chosen half is repeated."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
+            out = []
             for doc, tag, tag2, text, halves in zip(*(rows[c] for c in ("doc", "tag", "tag2", "text", "halves")), strict=True):
-                a, b = _hashes(byte_words(text))
-                half = _windows(a, window // 2, 0)
-                repeated = np.isin(half, np.asarray(halves, np.int64).view(np.uint64))
-                at = np.flatnonzero(repeated[_chosen(half, window - window // 2 + 1)])
-                h1, h2 = _windows(a, window, 0)[at], _windows(b, window, 1)[at] >> np.uint64(32)
-                yield pd.DataFrame({"doc": doc, "tag": tag, "tag2": tag2, "start": at.astype(np.int32), "h1": h1.view(np.int64), "h2": h2.astype(np.uint32).view(np.int32)})
+                words = _hashes(byte_words(text))
+                met = np.isin(_smallest(_windows(words, window // 2, 0), window - window // 2 + 1), np.asarray(halves, np.int64).view(np.uint64))
+                h1, h2 = _keys(words, window)
+                h1, first = np.unique(h1[met], return_index=True)
+                out.append(pd.DataFrame({"doc": doc, "tag": tag, "tag2": tag2, "h1": h1, "h2": h2[met][first]}))
+                if sum(map(len, out)) > 1 << 18:
+                    yield pd.concat(out)
+                    out = []
+            if out:
+                yield pd.concat(out)
 
     return run
 
@@ -115,7 +137,7 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _repeated(texts: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
-    """Windows found in two different texts or more, of the first document of each text: doc, tag, tag2, start, h1, h2, first."""
+    """Windows found in two different texts or more, of the first document of each text: doc, tag, tag2, h1, h2, first."""
     if window < 2:
         raise ValueError("a window has two words or more")
     halves = checkpointed(texts.select("tag", "text").mapInPandas(_halves(window), "tag long, half long"))
@@ -125,9 +147,11 @@ def _repeated(texts: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
     # first is the smallest doc of the text, so <= keeps the rows of that doc
     wide = texts.join(listed, (F.col("tag") == F.col("t")) & (F.col("tag2") == F.col("t2")) & (F.col("doc") <= F.col("first")))
     wide = wide.select("doc", "tag", "tag2", "text", "halves")
-    found = wide.mapInPandas(_extended(window), "doc long, tag long, tag2 long, start int, h1 long, h2 int")
-    first = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-    return found.join(first, ["h1", "h2"])
+    found = wide.mapInPandas(_extended(window), "doc long, tag long, tag2 long, h1 long, h2 int")
+    first = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    # a fresh exchange on this side too, so that adaptive execution can split the join at a window that very many texts share
+    first = first.select(F.col("h1").bitwiseXOR(0).alias("k1"), F.col("h2").bitwiseXOR(0).alias("k2"), "first")
+    return found.join(first, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).drop("k1", "k2")
 
 
 def _firsts(texts: DataFrame) -> DataFrame:
@@ -135,46 +159,49 @@ def _firsts(texts: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Windows that start in two documents of different texts: doc, tag, tag2, start, h1, h2, and first, the smallest doc_id with it.
+    """Windows that start in two documents of different texts: doc, tag, tag2, h1, h2, and first, the smallest doc_id with it.
 
-    Exact copies of a text are listed once, as the smallest of their doc_ids; tag and tag2 stand for the text. doc_id: whole
-    numbers, null as the largest long.
+    Exact copies of a text are listed once, as the smallest of their doc_ids, and a window once for a text; tag and tag2 stand for
+    the text, h1 and h2 for the window. doc_id: whole numbers, null as the largest long.
     """
     texts = _texts(docs, doc_id, text)
     return _repeated(texts, _firsts(texts), window)
 
 
 def levels(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text") -> dict[int, DataFrame]:
-    """Repeated windows (doc, tag, tag2, start, h1, h2) of window, 2 * window, 4 * window, ... words, until none survives."""
-    level = checkpointed(repeated_windows(docs, window, doc_id, text).select("doc", "tag", "tag2", "start", "h1", "h2"))
+    """Repeated windows of window, 2 * window, 4 * window, ... words, until no candidate survives."""
     out: dict[int, DataFrame] = {}
-    while not level.isEmpty():
+    while True:
+        level = checkpointed(repeated_windows(docs, window, doc_id, text))
+        if level.isEmpty():
+            return out
         out[window] = level
-        after = level.select("doc", "tag", "tag2", (F.col("start") - window).alias("start"), F.col("h1").alias("n1"), F.col("h2").alias("n2"))
-        longer = level.join(after, ["doc", "tag", "tag2", "start"])
-        longer = longer.select("doc", "tag", "tag2", "start", F.xxhash64("h1", "h2", "n1", "n2").alias("h1"), F.hash("h1", "h2", "n1", "n2").alias("h2"))
-        met = longer.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h1", "h2")
-        level, window = checkpointed(longer.join(met, ["h1", "h2"]).select(*level.columns)), 2 * window
-    return out
+        # a text without a repeated window of this length has none of twice the length
+        docs = packed(docs, doc_id, text).withColumn("tag", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+        docs = docs.join(level.select("tag").distinct(), "tag", "left_semi").select("row__.*")
+        window *= 2
+
+
+def _covered(words: list[bytes], keys: np.ndarray, window: int) -> np.ndarray:
+    """Whether each word lies in a window with one of the keys."""
+    at = np.flatnonzero(np.isin(_keys(_hashes(words), window)[0], keys))
+    edges = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edges, at, 1)
+    np.add.at(edges, at + window, -1)
+    return np.cumsum(edges[:-1]) > 0
 
 
 def _kept(window: int):
     @F.pandas_udf("n_words long, n_removed long, kept_text string")
-    def run(texts: pd.Series, copies: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    def run(texts: pd.Series, copies: pd.Series, keys: pd.Series) -> pd.DataFrame:
         out = []
-        for text, copy, at in zip(texts, copies, starts, strict=True):
+        for text, copy, gone in zip(texts, copies, keys, strict=True):
             words = byte_words(text)
+            left = words
             if copy and len(words) >= window:
-                out.append((len(words), len(words), ""))
-                continue
-            if copy or at is None or not len(at):
-                out.append((len(words), 0, b" ".join(words).decode("utf-8", "surrogatepass")))
-                continue
-            edges = np.zeros(len(words) + 1, np.int64)
-            np.add.at(edges, at, 1)
-            np.add.at(edges, np.asarray(at) + window, -1)
-            keep = np.cumsum(edges[:-1]) == 0
-            left = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+                left = []
+            elif not copy and gone is not None and len(gone):
+                left = [w for w, g in zip(words, _covered(words, np.asarray(gone, np.int64), window).tolist(), strict=True) if not g]
             out.append((len(words), len(words) - len(left), b" ".join(left).decode("utf-8", "surrogatepass")))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_text"])
 
@@ -189,10 +216,10 @@ def without_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", t
     """
     texts = _texts(docs, doc_id, text)
     firsts = _firsts(texts)
-    covered = _repeated(texts, firsts, window).where("first < doc").groupBy("tag", "tag2").agg(F.collect_set("start").alias("starts"))
+    covered = _repeated(texts, firsts, window).where("first < doc").groupBy("tag", "tag2").agg(F.collect_set("h1").alias("gone"))
     # the keys are computed anew so that the join below gets an exchange on either side, which adaptive execution can split
     # where one text has very many copies
-    judged = firsts.join(covered, ["tag", "tag2"], "left").select(F.col("tag").bitwiseXOR(0).alias("t"), F.col("tag2").bitwiseXOR(0).alias("t2"), "first", "starts")
+    judged = firsts.join(covered, ["tag", "tag2"], "left").select(F.col("tag").bitwiseXOR(0).alias("t"), F.col("tag2").bitwiseXOR(0).alias("t2"), "first", "gone")
     rows = texts.join(judged, (F.col("tag") == F.col("t")) & (F.col("tag2") == F.col("t2")))
-    got = _kept(window)(F.col("text"), F.col("doc") > F.col("first"), F.col("starts"))
+    got = _kept(window)(F.col("text"), F.col("doc") > F.col("first"), F.col("gone"))
     return rows.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), got.alias("got")).select("doc_id", "got.*")

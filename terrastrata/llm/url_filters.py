@@ -121,13 +121,7 @@ def cascade(list_: DataFrame, universe: DataFrame) -> list[Level]:
         level = _build(inside, n_inside, n_outside, number)
         levels.append(level)
         sent = list_.sparkSession.sparkContext.broadcast(level)
-
-        def through(batches: Iterator[pd.DataFrame], sent=sent, number=number) -> Iterator[pd.DataFrame]:
-            for rows in batches:
-                if len(rows):
-                    yield rows[sent.value.has(rows["key"].tolist(), number)]
-
-        wrong = checkpointed(outside.mapInPandas(through, "key string"))
+        wrong = checkpointed(outside.mapInPandas(_through(sent, number), "key string"))
         inside, outside, n_outside = wrong, inside, n_inside
         n_inside = wrong.count()
     return levels
@@ -145,6 +139,25 @@ def shards(list_: DataFrame, universe: DataFrame, max_bytes: int = MAX_BYTES) ->
     return [cascade(list_.where(shard == k), universe.where(shard == k)) for k in range(count)]
 
 
+def _any_listed(sent):
+    @F.pandas_udf("boolean")
+    def run(keys: pd.Series) -> pd.Series:
+        flat = sorted({k for some in keys for k in some})
+        found = dict(zip(flat, listed(flat, sent.value).tolist(), strict=True))
+        return pd.Series([any(found[k] for k in some) for some in keys], dtype=bool)
+
+    return run
+
+
+def _through(sent, number: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                yield rows[sent.value.has(rows["key"].tolist(), number)]
+
+    return run
+
+
 def judge(
     pages: DataFrame, list_: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_id", url: str = "url", max_bytes: int = MAX_BYTES
 ) -> DataFrame:
@@ -160,14 +173,8 @@ def judge(
     for number, levels in enumerate(cascades):
         sent = pages.sparkSession.sparkContext.broadcast(levels)
 
-        @F.pandas_udf("boolean")
-        def hit(keys: pd.Series, sent=sent) -> pd.Series:
-            flat = sorted({k for some in keys for k in some})
-            found = dict(zip(flat, listed(flat, sent.value).tolist(), strict=True))
-            return pd.Series([any(found[k] for k in some) for some in keys], dtype=bool)
-
         mine = F.filter(domains(F.col("host")), lambda k: F.pmod(F.xxhash64(k), F.lit(len(cascades))) == number)
-        rows = rows.withColumn("hit", F.col("hit") | hit(mine))
+        rows = rows.withColumn("hit", F.col("hit") | _any_listed(sent)(mine))
         if len(cascades) > 1:
             rows = checkpointed(rows)
             sent.unpersist()

@@ -12,140 +12,166 @@ with a score below ``threshold`` are rejected. Repeated rows are judged alike; a
 
 from __future__ import annotations
 
+import re
 import zlib
 from itertools import groupby
+from operator import eq
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import packed, words
+from ..session import checkpointed
+from .text import SPACES, packed
 
 #: Documents from which the scorer is fitted, and the most words read of each of these (the scorer itself reads whole texts).
 SAMPLE_ROWS, SAMPLE_WORDS = 8000, 2000
 FEATURES = 1 << 12
+#: Added to the length by which features are scaled: a few words say little.
+DAMPING = 4.0
 GOOD, BAD, NONE = 1, 0, -1
+#: The largest share of good documents in which a labeller may see its fault.
+MAX_FALSE_ALARM = 0.002
+LABELLERS = ("shouting", "symbols", "bare", "marks", "ends", "follows", "distinct")
+#: Words that a worker remembers before it starts afresh.
+MEMORY = 1 << 19
+_SPACES = re.compile(SPACES)
+_SYMBOL, _MARKS, _END = re.compile(r"[#*$%&|<>]"), re.compile(r"[!?]{2,}$"), re.compile(r"[.!?]$")
 
 
-def labellers(text: Column) -> dict[str, Column]:
-    """Each vote as an int: 1 good, 0 bad, -1 none. Ratios need no other row."""
-    w = words(text)
-    n = F.size(w)
+def _shape(word: str) -> str:
+    kinds = ("A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c for c in word)
+    return "".join(k for k, _ in groupby(kinds))
+
+
+class _Words(dict):
+    """For each word one int: five tests of the labellers, then the hashed features of the word and of its shape."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        shouting = w.upper() == w and w.lower() != w and len(w) > 1
+        tests = (shouting, bool(_SYMBOL.search(w)), not any(map(str.isalpha, w)), bool(_MARKS.search(w)), bool(_END.search(w)))
+        flags = sum(t << k for k, t in enumerate(tests))
+        own = zlib.crc32(w.lower().encode("utf-8", "replace")) % FEATURES
+        shape = zlib.crc32(b"\0" + _shape(w).encode("utf-8", "replace")) % FEATURES
+        got = self[w] = flags << 40 | own << 20 | shape
+        return got
+
 
-    def share(test) -> Column:
-        return F.aggregate(w, F.lit(0), lambda a, x: a + F.when(test(x), 1).otherwise(0)) / n
+_words = _Words()
+_AGAIN = zlib.crc32(b"\1again") % FEATURES
 
-    def vote(good: Column, bad: Column, least: int) -> Column:
-        return F.when(n < least, NONE).when(bad, BAD).when(good, GOOD).otherwise(NONE).cast("int")
 
-    shouting = share(lambda x: (F.upper(x) == x) & (F.lower(x) != x) & (F.char_length(x) > 1))
-    symbols = share(lambda x: x.rlike(r"[#*$%&|<>]"))
-    bare = share(lambda x: ~x.rlike(r"\p{L}"))
-    follows = F.aggregate(F.zip_with(F.slice(w, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x) / n
-    distinct = F.size(F.array_distinct(F.transform(w, F.lower))) / n
-    marks = share(lambda x: x.rlike(r"[!?]{2,}$"))
-    ends = share(lambda x: x.rlike(r"[.!?]$"))
-    return {
-        "shouting": vote(shouting < 0.1, shouting > 0.3, 10),
-        "symbols": vote(symbols < 0.05, symbols > 0.2, 10),
-        "bare": vote(bare < 0.1, bare > 0.25, 10),
-        "follows": vote(follows < 0.1, follows > 0.3, 10),
-        "distinct": vote(distinct > 0.4, distinct < 0.1, 50),
-        "marks": vote(marks < 0.02, marks > 0.2, 10),
-        "ends": vote(ends.between(0.01, 0.3), ends > 0.6, 20),
-    }
+def _codes(w: list[str]) -> np.ndarray:
+    return np.fromiter(map(_words.__getitem__, w), np.int64, len(w))
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
-    """Share of good documents, vote probabilities [class, labeller, vote + 1], and P(good) of each pattern.
+def votes(text: str | None) -> tuple[int, ...]:
+    """One vote of each of LABELLERS: 1 good, 0 bad, -1 none."""
+    w = [x for x in _SPACES.split(text or "") if x]
+    n = len(w)
+    flags = _codes(w) >> 40
+    shouting, symbols, bare, marks, ends = (float(((flags >> k) & 1).sum()) / max(1, n) for k in range(5))
+    follows = sum(map(eq, w, w[1:])) / max(1, n)
+    distinct = len(set(map(str.lower, w))) / max(1, n)
 
-    The start takes the majority of the votes; a smoothing count of one keeps every probability from 0.
+    def vote(least: int, good: bool, bad: bool) -> int:
+        return NONE if n < least else BAD if bad else GOOD if good else NONE
+
+    return (
+        vote(10, shouting < 0.1, shouting > 0.3),
+        vote(10, symbols < 0.05, symbols > 0.2),
+        vote(10, bare < 0.1, bare > 0.25),
+        vote(10, marks < 0.02, marks > 0.2),
+        vote(20, 0.01 <= ends <= 0.3, ends > 0.6),
+        vote(10, follows < 0.1, follows > 0.3),
+        vote(50, distinct > 0.4, distinct < 0.1),
+    )
+
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, max_false_alarm: float = MAX_FALSE_ALARM) -> tuple[float, np.ndarray, np.ndarray]:
+    """Share of good documents, P(a labeller that votes says bad) [class, labeller], and P(good) of each pattern.
+
+    No vote is no evidence. Each labeller looks for another fault, so a document starts as bad if any of them votes so,
+    and no labeller may see its fault in more than ``max_false_alarm`` of the good documents: else a fault that seldom comes with
+    others would be taken for a trait of good ones. A smoothing count of one keeps every probability from 0.
     """
-    votes = patterns + 1
-    majority = (patterns == GOOD).sum(axis=1) - 2.0 * (patterns == BAD).sum(axis=1)
-    good = 1 / (1 + np.exp(-majority))
-    share, tables = 0.5, np.empty((2, patterns.shape[1], 3))
+    voted, bad = patterns != NONE, patterns == BAD
+    good = np.where(bad.any(axis=1), 0.05, 0.95)
+    share, alarm = 0.5, np.full((2, patterns.shape[1]), 0.5)
     for _ in range(rounds):
         share = float((counts * good).sum() + 1) / (counts.sum() + 2)
         for c, weight in ((1, counts * good), (0, counts * (1 - good))):
-            for k in range(patterns.shape[1]):
-                seen = np.bincount(votes[:, k], weight, 3) + 1
-                tables[c, k] = seen / seen.sum()
-        logs = np.log([1 - share, share])[:, None] + np.log(tables)[:, np.arange(patterns.shape[1]), votes].sum(axis=2)
+            alarm[c] = (weight @ bad + 1) / (weight @ voted + 2)
+        alarm[1] = np.minimum(alarm[1], max_false_alarm)
+        alarm[0] = np.clip(alarm[0], 5 * max_false_alarm, 1 - max_false_alarm)
+        logs = np.log([1 - share, share])[:, None] + np.log(alarm) @ bad.T + np.log1p(-alarm) @ (voted & ~bad).T
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
         if np.abs(new - good).max(initial=0) < 1e-9:
             break
         good = new
-    return share, tables, good
+    return share, alarm, good
 
 
-_seen: dict[str, tuple[int, ...]] = {}
-
-
-def _shape(word: str) -> str:
-    kinds = ("A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c for c in word)
-    return "".join(k for k, _ in groupby(kinds))
-
-
-def token_ids(text: str | None, most: int | None = None) -> list[int]:
-    """Hashed features, with repeats: each word in lower case, its shape, and whether it repeats the word before."""
-    out: list[int] = []
-    before = None
-    if len(_seen) > 1 << 19:
-        _seen.clear()
-    for w in (text or "").split()[:most]:
-        got = _seen.get(w)
-        if got is None:
-            got = _seen[w] = (zlib.crc32(w.lower().encode("utf-8", "replace")) % FEATURES, zlib.crc32(b"\0" + _shape(w).encode("utf-8", "replace")) % FEATURES)
-        out += got
-        if w == before:
-            out.append(zlib.crc32(b"\1again") % FEATURES)
-        before = w
-    return out
-
-
-def _counts(ids: list[int]) -> np.ndarray:
-    """Shares of the features, scaled to unit length."""
-    x = np.bincount(ids, minlength=FEATURES).astype(float)
-    length = np.sqrt((x * x).sum())
-    return x / length if length else x
+def features(text: str | None, most: int | None = None) -> np.ndarray:
+    """Counts of the hashed words, word shapes and repeats of the word before, scaled to unit length, or less for short texts."""
+    w = [x for x in _SPACES.split(text or "") if x][:most]
+    codes = _codes(w)
+    x = np.bincount(codes & 0xFFFFF, minlength=FEATURES) + np.bincount((codes >> 20) & 0xFFFFF, minlength=FEATURES).astype(float)
+    x[_AGAIN] += sum(map(eq, w, w[1:]))
+    return x / (np.sqrt((x * x).sum()) + DAMPING)
 
 
 def fit(texts: list[str | None], good: np.ndarray, rounds: int = 300, penalty: float = 1e-4, rate: float = 4.0) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels; both classes weigh the same."""
-    x = np.array([_counts(token_ids(t, SAMPLE_WORDS)) for t in texts], np.float32).reshape(len(texts), FEATURES)
-    weight, bias, good = np.zeros(FEATURES), 0.0, np.asarray(good, float)
-    each = np.where(good >= 0.5, 1 / max(1.0, (good >= 0.5).sum()), 1 / max(1.0, (good < 0.5).sum())) / 2
-    speed, speed_b = np.zeros(FEATURES), 0.0
+    x = np.array([features(t, SAMPLE_WORDS) for t in texts], np.float32).reshape(len(texts), FEATURES)
+    weight, bias, good = np.zeros(FEATURES, np.float32), np.float32(0), np.asarray(good, np.float32)
+    each = (np.where(good >= 0.5, 1 / max(1.0, (good >= 0.5).sum()), 1 / max(1.0, (good < 0.5).sum())) / 2).astype(np.float32)
+    speed, speed_b = np.zeros(FEATURES, np.float32), np.float32(0)
+    penalty, rate = np.float32(penalty), np.float32(rate)
     for _ in range(rounds if len(texts) else 0):
         off = each * (1 / (1 + np.exp(-(x @ weight + bias))) - good)
-        speed = 0.9 * speed + (x.T @ off + penalty * weight)
-        speed_b = 0.9 * speed_b + off.sum()
+        speed = np.float32(0.9) * speed + (x.T @ off + penalty * weight)
+        speed_b = np.float32(0.9) * speed_b + off.sum()
         weight, bias = weight - rate * speed, bias - rate * speed_b
-    return weight, bias
+    return weight.astype(float), float(bias)
+
+
+def _voted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Two hashes that order the documents, and each one's votes."""
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([votes(t) for t in texts])
+
+    text_ = F.col(f"`{text}`")
+    return docs.select(F.xxhash64(F.col(f"`{doc_id}`")).alias("h"), F.xxhash64(text_).alias("h2"), run(text_).alias("v"))
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float]:
     """Weights and bias of the scorer."""
-    votes = labellers(F.col("text"))
-    rows = docs.select(F.xxhash64(F.col(f"`{doc_id}`")).alias("h"), F.col(f"`{text}`").alias("text"))
-    voted = rows.select("h", "text", F.array(*votes.values()).alias("v"))
+    voted = checkpointed(_voted(docs, doc_id, text))
     table = voted.groupBy("v").count().collect()
     if not table:
         return np.zeros(FEATURES), 0.0
     _, _, good = estimate(np.array([r[0] for r in table]), np.array([r[1] for r in table], float))
-    posterior = {tuple(r[0]): g for r, g in zip(table, good, strict=True)}
-    # the sample: as many documents of either side as there are, up to half of the bound each
-    sides = [[list(p) for p, g in posterior.items() if (g >= 0.5) == side] for side in (True, False)]
-    texts, labels = [], []
-    for patterns in filter(None, sides):
-        chosen = F.array(*[F.array(*map(F.lit, p)) for p in patterns])
-        ids = voted.where(F.array_contains(chosen, F.col("v"))).select("h", F.xxhash64("text").alias("h2"), F.substring("text", 1, 10 * SAMPLE_WORDS).alias("text"), "v")
-        for row in ids.orderBy("h", "h2").limit(sample_rows // 2).toLocalIterator():
-            texts.append(row["text"])
-            labels.append(posterior[tuple(row["v"])])
-    return fit(texts, np.array(labels))
+    posterior = {tuple(r[0]): float(g) for r, g in zip(table, good, strict=True)}
+    # half of the sample from either side, as far as it has documents
+    chosen = None
+    for side in (True, False):
+        patterns = [p for p, g in posterior.items() if (g >= 0.5) == side]
+        if patterns:
+            some = voted.join(F.broadcast(docs.sparkSession.createDataFrame([(list(p),) for p in patterns], "v array<int>")), "v")
+            some = some.orderBy("h", "h2").limit(sample_rows // 2)
+            chosen = some if chosen is None else chosen.unionByName(some)
+    chosen = chosen.dropDuplicates(["h", "h2"])
+    text_ = F.col(f"`{text}`")
+    rows = docs.select(F.xxhash64(F.col(f"`{doc_id}`")).alias("h"), F.xxhash64(text_).alias("h2"), F.substring(text_, 1, 8 * SAMPLE_WORDS).alias("text"))
+    rows = rows.join(F.broadcast(chosen), ["h", "h2"]).dropDuplicates(["h", "h2"]).select("h", "h2", "v", "text").toArrow()
+    rows = rows.sort_by([("h", "ascending"), ("h2", "ascending")])
+    return fit(rows["text"].to_pylist(), np.array([posterior[tuple(v)] for v in rows["v"].to_pylist()]))
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> Column:
@@ -155,24 +181,19 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text")
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
         weight, bias = sent.value
-        out = np.empty(len(texts))
-        for k, t in enumerate(texts):
-            x = np.bincount(token_ids(t), minlength=FEATURES)
-            length = np.sqrt((x * x).sum())
-            out[k] = 1 / (1 + np.exp(-((x @ weight) / length + bias if length else bias)))
-        return pd.Series(out)
+        return pd.Series([1 / (1 + np.exp(-(features(t) @ weight + bias))) for t in texts], dtype="float64")
 
     return run(F.col(f"`{text}`"))
 
 
-def classify(docs: DataFrame, threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score (probability of good quality) and kept (score at least ``threshold``) of each row."""
     model = train(docs, sample_rows, doc_id, text)
     out = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), scores(docs, model, text).alias("score"))
     return out.withColumn("kept", F.col("score") >= threshold)
 
 
-def accepted(docs: DataFrame, threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, with all their columns, that the classifier keeps."""
     model = train(docs, sample_rows, doc_id, text)
     return packed(docs, text).withColumn("score__", scores(docs, model, text)).where(F.col("score__") >= threshold).select("row__.*")
