@@ -90,8 +90,8 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(texts: list[set[int]], toxic: np.ndarray, others: list[tuple[int, set[int]]], least: float = 5.0, most: int = 5000, balance: float = 5.0, rounds: int = 400, penalty: float = 1e-3) -> Model:
-    """Logistic regression over chosen features. others: for a text's number, the features of the text when swapped.
+def fit(texts: list[np.ndarray], toxic: np.ndarray, others: list[tuple[int, np.ndarray]], least: float = 5.0, most: int = 2000, balance: float = 5.0, rounds: int = 400, penalty: float = 1e-3) -> Model:
+    """Logistic regression over chosen features. texts: distinct features of each text; others: a text's number, and its features when swapped.
 
     balance: weight of the squared changes of the score before the logistic function.
     """
@@ -99,23 +99,22 @@ def fit(texts: list[set[int]], toxic: np.ndarray, others: list[tuple[int, set[in
     n, p = len(texts), float(toxic.sum())
     if not 0 < p < n:
         return Model(np.empty(0, np.int64), np.empty(0), float(np.log((p + 1) / (n - p + 1))))
-    ids = np.concatenate([np.fromiter(t, np.int64, len(t)) for t in texts])
-    owner = np.repeat(np.arange(n), [len(t) for t in texts])
-    inside = np.bincount(ids, toxic[owner], HASHES)
-    all_ = np.bincount(ids, minlength=HASHES)
+    ids, place = np.unique(np.concatenate(texts), return_inverse=True)
+    all_ = np.bincount(place, minlength=len(ids))
+    inside = np.bincount(place, np.repeat(toxic, [len(t) for t in texts]), len(ids))
+    del place
     rate = all_ / n
     spread = np.sqrt(np.maximum(rate * (1 - rate) * (1 / p + 1 / (n - p)), 1e-12))
     z = np.where(all_ >= 5, np.abs(inside / p - (all_ - inside) / (n - p)) / spread, 0)
-    chosen = np.flatnonzero(z >= least)
-    chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[:most]])
-    column = np.full(HASHES, -1)
-    column[chosen] = np.arange(len(chosen))
-
-    def matrix(sets: list[set[int]]) -> np.ndarray:
-        x = np.zeros((len(sets), len(chosen)), np.float32)
-        for k, s in enumerate(sets):
-            at = column[np.fromiter(s, np.int64, len(s))]
-            x[k, at[at >= 0]] = 1
+    strong = np.flatnonzero(z >= least)
+    chosen = np.sort(ids[strong[np.argsort(-z[strong], kind="stable")[:most]]])
+
+    def matrix(some: list[np.ndarray]) -> np.ndarray:
+        x = np.zeros((len(some), len(chosen)), np.float32)
+        for k, s in enumerate(some):
+            at = np.searchsorted(chosen, s)
+            at = at[at < len(chosen)] if len(chosen) else at[:0]
+            x[k, at[np.isin(chosen[at], s)]] = 1
         return x
 
     x = matrix(texts)
@@ -153,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, gr
         return pd.DataFrame([(sorted(features(t)), [sorted(features(s)) for s in swapped(t, groups)]) for t in texts], columns=["own", "swaps"])
 
     got = rows.select("i", "y", run("text").alias("f")).select("i", "y", "f.*").toArrow().sort_by([("i", "ascending")])
-    own = [set(x.values.to_numpy(zero_copy_only=False).tolist()) for x in got["own"]]
-    others = [(k, set(s)) for k, some in enumerate(got["swaps"].to_pylist()) for s in some or []]
+    own = [x.values.to_numpy() for x in got["own"]]
+    others = [(k, np.array(s, np.int32)) for k, some in enumerate(got["swaps"].to_pylist()) for s in some or []]
     return fit(own, got["y"].to_numpy(), others)
 
 
