@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..sources.raster import GridMeta, Raster, StratMeta, quoted, same_crs, strata_column
-from ..sources.vector import Vector
+from ..sources.vector import Vector, field_column
 from .constraints import placed, within_polygons
 
 MAX_STRATA = 2**31 - 1
@@ -58,26 +58,26 @@ def _finish(raster: Raster, strata: dict[str, tuple[Column, StratMeta]], filenam
     return out.write(filename) if filename else out
 
 
-def _by_band(raster: Raster, given, kind: type | tuple) -> dict[str, object]:
-    """From a value for the only band, a list with a value for each band, or a dict by band; in the order of the bands."""
+def _by_band(raster: Raster, given) -> dict[str, object]:
+    """From a list for the only band, a list of lists or a dict by band; in the order of the bands."""
     raster.check_open()
     if isinstance(given, Mapping):
         named = {raster.band_name(b): v for b, v in given.items()}
-    elif isinstance(given, kind) or (isinstance(given, (list, tuple)) and not any(isinstance(v, (list, tuple)) for v in given) and kind is list):
+    elif not isinstance(given, (list, tuple)):
+        raise TypeError("a list, a list of lists or a dict by band is wanted")
+    elif not any(isinstance(v, (list, tuple)) for v in given):
         named = {raster.band_name(None): given}
-    elif isinstance(given, (list, tuple)):
-        if len(given) != len(raster.meta.bands):
-            raise ValueError("there must be one list for each band")
+    elif len(given) == len(raster.meta.bands):
         named = dict(zip(raster.meta.bands, given, strict=True))
     else:
-        raise TypeError("a list, a list of lists or a dict by band is wanted")
+        raise ValueError("there must be one list for each band")
     return {b: named[b] for b in raster.meta.bands if b in named}
 
 
 def breaks(rast: Raster, breaks: list | Mapping, map: bool = False, filename: str = "") -> Raster:  # noqa: A002
     """Bands strat_<band>: the number of breaks below the value; with ``map`` also strat_map, which combines them."""
     strata = {}
-    for band, cuts in _by_band(rast, breaks, list).items():
+    for band, cuts in _by_band(rast, breaks).items():
         cuts = sorted(float(c) for c in cuts)
         names = [f"x <= {cuts[0]}", *(f"{a} < x <= {b}" for a, b in zip(cuts, cuts[1:], strict=False)), f"x > {cuts[-1]}"] if cuts else ["all"]
         strata[f"strat_{band}"] = (binned(quoted(band), cuts), StratMeta(len(cuts) + 1, tuple(names)))
@@ -125,22 +125,17 @@ def quantiles(rast: Raster, quantiles: int | list | Mapping, map: bool = False,
     """Like breaks(), with the bands' own quantiles as breaks."""
     if isinstance(quantiles, int):
         given = {rast.band_name(None): quantiles}
-    elif isinstance(quantiles, (list, tuple)) and quantiles and len(rast.meta.bands) > 1 and all(isinstance(q, int) for q in quantiles):
-        given = _by_band(rast, list(map_lists(quantiles)), list)
-        given = {b: q[0] for b, q in given.items()}
-    elif isinstance(quantiles, (list, tuple)) and any(isinstance(q, (list, tuple)) for q in quantiles):
-        given = _by_band(rast, [q if isinstance(q, (list, tuple)) else [q] for q in quantiles], list)
-        given = {b: q[0] if len(q) == 1 and isinstance(q[0], int) else q for b, q in given.items()}
+    elif isinstance(quantiles, (list, tuple)) and len(rast.meta.bands) > 1:
+        # one entry for each band: a number of quantiles or a list of probabilities
+        if len(quantiles) != len(rast.meta.bands):
+            raise ValueError("there must be an entry for each band")
+        given = dict(zip(rast.meta.bands, quantiles, strict=True))
     else:
-        given = _by_band(rast, quantiles, list)
+        given = _by_band(rast, quantiles)
     cuts = cutpoints(rast, {b: probabilities(q) for b, q in given.items()}, eps, exact)
     return breaks(rast, cuts, map, filename)
 
 
-def map_lists(values: Sequence[int]) -> list[list[int]]:
-    return [[v] for v in values]
-
-
 def map(*args, filename: str = "") -> Raster:  # noqa: A001
     """strat_map over all bands of the arguments, in their order: rasters, (raster, bands) or (raster, bands, numbers of strata).
 
@@ -197,6 +192,7 @@ def poly(rast: Raster, vect: Vector, layer_name: str, attribute: str, features:
     rast.check_open()
     if not same_crs(rast.meta.crs, vect.crs):
         raise ValueError("the raster and the polygons have different coordinate systems")
+    attribute = field_column(attribute)
     if attribute not in vect.fields.get(vect.layer_name(layer_name), []):
         raise ValueError(f"no attribute {attribute!r}")
     if not features:

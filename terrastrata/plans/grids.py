@@ -67,7 +67,7 @@ def access_lines(spark: SparkSession) -> Vector:
 
 
 def polygons(spark: SparkSession) -> Vector:
-    return Vector.from_rows(spark, "Polygon", [[TRIANGLE], [FRAME, HOLE], [BOX]], "inventory", CRS, kind_of=["poor", "rich", "medium"])
+    return Vector.from_rows(spark, "Polygon", [[TRIANGLE], [FRAME, HOLE], [BOX]], "inventory", CRS, {"kind_of": ["poor", "rich", "medium"]})
 
 
 def existing_plots(spark: SparkSession, width: int = 150, count: int = 20) -> Vector:

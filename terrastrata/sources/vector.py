@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,13 @@ from pyspark.sql import types as T
 _XY = "struct<x:double,y:double>"
 KINDS = {"Point": "array<double>", "MultiPoint": "array<array<double>>", "LineString": "array<array<double>>", "MultiLineString": "array<array<array<double>>>", "Polygon": "array<array<array<double>>>", "MultiPolygon": "array<array<array<array<double>>>>"}
 
+OWN_COLUMNS = {"fid", "kind", "geometry", "part", "coords", "rings", "x", "y", "row", "col", "pix", "c"}
+
+
+def field_column(name: str) -> str:
+    """The column of a field: its name, with ``_field`` after it where a column of ours has that name in any case."""
+    return f"{name}_field" if name.lower() in OWN_COLUMNS else name
+
 
 @dataclass
 class Vector:
@@ -40,14 +47,15 @@ class Vector:
             rows = rows.withColumn("n", F.monotonically_increasing_id())
         rows = rows.select(F.col("n").cast("long").alias("fid"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("geometry"), F.col("f.properties").alias("p"))
         names = [r[0] for r in rows.select(F.explode(F.map_keys("p"))).distinct().orderBy(F.col("col")).limit(1000).collect()]
-        rows = rows.select("fid", "kind", "geometry", *[F.col("p")[n].alias(n) for n in names])
-        return cls({name: rows}, crs, "GeoJSON", {name: names})
+        rows = rows.select("fid", "kind", "geometry", *[F.col("p")[n].alias(field_column(n)) for n in names])
+        return cls({name: rows}, crs, "GeoJSON", {name: [field_column(n) for n in names]})
 
     @classmethod
-    def from_rows(cls, spark: SparkSession, kind: str, geometries: Sequence, layer: str = "layer", crs: str = "", **fields: Sequence) -> Vector:
-        """From nested coordinates of one kind on the driver, with a sequence for each field."""
+    def from_rows(cls, spark: SparkSession, kind: str, geometries: Sequence, layer: str = "layer", crs: str = "", fields: Mapping[str, Sequence] | None = None) -> Vector:
+        """From nested coordinates of one kind on the driver, with a sequence of values for each field."""
         if kind not in KINDS:
             raise ValueError(f"unknown kind {kind!r}")
+        fields = {field_column(f): v for f, v in (fields or {}).items()}
         rows = [(k, kind, json.dumps(g), *(fields[f][k] for f in fields)) for k, g in enumerate(geometries)]
         kinds = [T.StructField(f, _kind_of(fields[f])) for f in fields]
         schema = T.StructType([T.StructField("fid", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("geometry", T.StringType()), *kinds])
@@ -64,6 +72,7 @@ class Vector:
         got = json.loads(frame.to_json())["features"]
         names = sorted({k for f in got for k in f.get("properties") or {}})
         rows = [(k, f["geometry"]["type"], json.dumps(f["geometry"]["coordinates"]), *(None if (v := (f.get("properties") or {}).get(n)) is None else str(v) for n in names)) for k, f in enumerate(got)]
+        names = [field_column(n) for n in names]
         schema = ", ".join(["fid long", "kind string", "geometry string", *(f"`{n}` string" for n in names)])
         return cls({layer: spark.createDataFrame(rows, schema)}, frame.crs.to_wkt() if frame.crs is not None else "", "MEM", {layer: names})
 
