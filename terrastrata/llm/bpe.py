@@ -19,8 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import remembering
+
 #: Distinct pieces (some 250 bytes each), prefixes and pairs that a worker remembers before it starts afresh.
-MEMORY, PREFIXES, PAIRS = 1_000_000, 300_000, 1_600_000
+MEMORY, PREFIXES, PAIRS = 600_000, 200_000, 800_000
 #: Pieces handled at once; bounds memory for very long texts.
 CHUNK = 50_000
 #: Largest vocabulary file that is broadcast.
@@ -260,7 +262,9 @@ def _codec(data: bytes, pattern: str) -> Codec:
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(Vocabulary.load(data), pattern)
-    return _codecs[key]
+    codec = _codecs[key]
+    remembering("bpe", codec.known, codec.vocabulary._prefixes, codec.vocabulary._pairs)
+    return codec
 
 
 def _shipped(df: DataFrame, path: str):

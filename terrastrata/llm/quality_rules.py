@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import packed, words
+from .text import words
 
 BUCKETS = 1 << 13
 
@@ -30,13 +30,14 @@ def _grams(w: Column, buckets: int) -> Column:
     return F.concat(one, two)
 
 
-def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, text: str = "text") -> list[int]:
-    """Count of each bucket over every document; there are ``buckets`` of them, whatever the input."""
-    grams = docs.select(F.explode(_grams(words(F.col(f"`{text}`")), buckets)).alias("bucket"))
-    out = [0] * buckets
-    for row in grams.groupBy("bucket").count().collect():
-        out[row[0]] = row[1]
-    return out
+def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, text: str = "text", target: Column | None = None) -> tuple[list[int], list[int]]:
+    """Counts of each bucket over the rows for which ``target`` holds, and over all rows: ``buckets`` numbers, whatever the input."""
+    flag = F.lit(False) if target is None else F.coalesce(target, F.lit(False))
+    grams = docs.select(flag.alias("t"), F.explode(_grams(words(F.col(f"`{text}`")), buckets)).alias("bucket"))
+    inside, all_ = [0] * buckets, [0] * buckets
+    for bucket, n, some in grams.groupBy("bucket").agg(F.count("*"), F.count_if("t")).collect():
+        all_[bucket], inside[bucket] = n, some
+    return inside, all_
 
 
 def log_ratios(target: list[int], raw: list[int]) -> list[float]:
@@ -108,10 +109,11 @@ def judge(
     )
 
 
-def quality_rules(docs: DataFrame, target_ids: DataFrame, threshold: float = -0.05, buckets: int = BUCKETS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, target_ids: DataFrame, threshold: float = -0.06, buckets: int = BUCKETS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """judge() over all rows; the target is the rows whose doc_id is in the first column of ``target_ids``."""
-    ids = target_ids.select(F.col(f"`{target_ids.columns[0]}`").alias("target__")).distinct()
-    target = packed(docs, doc_id, text).drop("row__")
-    target = target.join(ids, F.col(f"`{doc_id}`") == F.col("target__"), "left_semi")
-    ratios = log_ratios(bucket_counts(target, buckets, text), bucket_counts(docs, buckets, text))
-    return judge(docs, ratios, threshold, doc_id=doc_id, text=text)
+    ids = target_ids.select(F.col(f"`{target_ids.columns[0]}`").alias("target__")).distinct().withColumn("is_target__", F.lit(True))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id__"), F.col(f"`{text}`").alias("text__"))
+    # the list grows with the corpus: it is not broadcast, and a hash join spares sorting the texts
+    rows = rows.join(ids.hint("shuffle_hash"), F.col("id__") == F.col("target__"), "left")
+    inside, all_ = bucket_counts(rows, buckets, "text__", F.col("is_target__"))
+    return judge(docs, log_ratios(inside, all_), threshold, doc_id=doc_id, text=text)

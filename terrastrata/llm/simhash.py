@@ -212,7 +212,8 @@ def _components(prints: DataFrame, budget: int, part_size: int) -> DataFrame:
     linked = checkpointed(smallest.join(roots, "fp"))
     of_root = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     component = linked.join(of_root, "root").select("fp", "component_id")
-    return smallest.join(component, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # stored, so that a join with it has an exchange on either side, which adaptive execution can split at a fingerprint of very many rows
+    return checkpointed(smallest.join(component, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
 
 
 def near_duplicates(
@@ -220,7 +221,7 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links, for each row."""
     prints = checkpointed(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprint(F.col(f"`{text}`"), shingle, seed).alias("fp")))
-    component = checkpointed(_components(prints, budget, part_size))
+    component = _components(prints, budget, part_size)
     out = prints.join(component, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .text import byte_words, packed
+from .text import byte_words, packed, remembering
 
 #: Distinct words that a worker remembers before it starts afresh.
 MEMORY = 1 << 20
@@ -86,6 +86,7 @@ def _halves(window: int):
     """For each text, the chosen half windows without repeats."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remembering("substring", _known)
         for rows in batches:
             tags, parts = [], []
             for tag, text in zip(rows["tag"], rows["text"], strict=True):
@@ -113,6 +114,7 @@ def _extended(window: int):
     """The distinct windows of full length of each text whose chosen half is repeated."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remembering("substring", _known)
         for rows in batches:
             out = []
             for doc, tag, tag2, text, halves in zip(*(rows[c] for c in ("doc", "tag", "tag2", "text", "halves")), strict=True):
@@ -194,6 +196,7 @@ def _covered(words: list[bytes], keys: np.ndarray, window: int) -> np.ndarray:
 def _kept(window: int):
     @F.pandas_udf("n_words long, n_removed long, kept_text string")
     def run(texts: pd.Series, copies: pd.Series, keys: pd.Series) -> pd.DataFrame:
+        remembering("substring", _known)
         out = []
         for text, copy, gone in zip(texts, copies, keys, strict=True):
             words = byte_words(text)

@@ -24,3 +24,18 @@ def byte_words(text: str | None) -> list[bytes]:
 def packed(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns beside the whole row as one struct ``row__``, so that no other column name can clash."""
     return df.select(F.struct("*").alias("row__"), *[F.col(f"`{c}`").alias(c) for c in columns])
+
+
+_memories: dict[str, tuple[dict, ...]] = {}
+
+
+def remembering(operator: str, *caches: dict) -> None:
+    """Called by an operator in a Python worker before it uses its caches: empties those of all others.
+
+    A worker serves one stage after the other, and what they all remember would add up.
+    """
+    _memories[operator] = caches
+    for other, kept in _memories.items():
+        if other != operator:
+            for cache in kept:
+                cache.clear()

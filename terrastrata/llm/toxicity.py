@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import remembering
+
 SAMPLE_ROWS = 8000
 HASHES = 1 << 22
 #: Groups of terms that can stand for each other; the last of each is neutral.
@@ -149,6 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, gr
 
     @F.pandas_udf("own array<int>, swaps array<array<int>>")
     def run(texts: pd.Series) -> pd.DataFrame:
+        remembering("toxicity", _known)
         return pd.DataFrame([(sorted(features(t)), [sorted(features(s)) for s in swapped(t, groups)]) for t in texts], columns=["own", "swaps"])
 
     got = rows.select("i", "y", run("text").alias("f")).select("i", "y", "f.*").toArrow().sort_by([("i", "ascending")])
@@ -163,6 +166,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
         model = sent.value
+        remembering("toxicity", _known)
         table = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
         return pd.Series([model.score(features(t), table) for t in texts], dtype="float64")
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .text import SPACES, packed
+from .text import SPACES, packed, remembering
 
 #: Documents from which the scorer is fitted, and the most words read of each of these (the scorer itself reads whole texts).
 SAMPLE_ROWS, SAMPLE_WORDS = 8000, 2000
@@ -126,7 +126,9 @@ def features(text: str | None, most: int | None = None) -> np.ndarray:
 
 def fit(texts: list[str | None], good: np.ndarray, rounds: int = 300, penalty: float = 1e-4, rate: float = 4.0) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels; both classes weigh the same."""
-    x = np.array([features(t, SAMPLE_WORDS) for t in texts], np.float32).reshape(len(texts), FEATURES)
+    x = np.empty((len(texts), FEATURES), np.float32)
+    for k, t in enumerate(texts):
+        x[k] = features(t, SAMPLE_WORDS)
     weight, bias, good = np.zeros(FEATURES, np.float32), np.float32(0), np.asarray(good, np.float32)
     each = (np.where(good >= 0.5, 1 / max(1.0, (good >= 0.5).sum()), 1 / max(1.0, (good < 0.5).sum())) / 2).astype(np.float32)
     speed, speed_b = np.zeros(FEATURES, np.float32), np.float32(0)
@@ -144,6 +146,7 @@ def _voted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
+        remembering("weak_quality", _words)
         return pd.Series([votes(t) for t in texts])
 
     text_ = F.col(f"`{text}`")
@@ -181,6 +184,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text")
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
         weight, bias = sent.value
+        remembering("weak_quality", _words)
         return pd.Series([1 / (1 + np.exp(-(features(t) @ weight + bias))) for t in texts], dtype="float64")
 
     return run(F.col(f"`{text}`"))
