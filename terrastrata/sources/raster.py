@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from . import geotiff
 
 #: Pixels that band() and to_numpy() bring to the driver at most.
 COLLECT_LIMIT = 1 << 27
@@ -175,7 +176,10 @@ class Raster:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Raster:
-        """A raster that write() has stored."""
+        """A raster that write() has stored, or GeoTIFF files: a .tif, or a pattern that ends so for a mosaic of several."""
+        if path.lower().endswith((".tif", ".tiff")):
+            out = geotiff.read(spark, path)
+            return Raster(out.df, replace(out.meta, driver="GTiff"))
         text = "".join(r[0] for r in spark.read.text(f"{path}/grid", wholetext=True).collect())
         got = json.loads(text)
         strata = {b: StratMeta(s["strata_count"], tuple(s["descriptions"]), tuple(map(tuple, s["parts"]))) for b, s in got.pop("strata").items()}
@@ -202,11 +206,20 @@ class Raster:
     # ------------------------------------------------------------------ sinks
 
     def write(self, path: str, mode: str = "errorifexists") -> Raster:
-        """Stores pixels as Parquet and the grid as JSON beneath ``path``; returns the stored raster."""
+        """Stores pixels as Parquet and the grid as JSON beneath ``path``; returns the stored raster.
+
+        A path that ends in .tif gets one GeoTIFF file, put together on the driver; strata metadata stay with the returned raster.
+        """
         self.check_open()
-        if os.path.splitext(path)[1] not in ("", ".parquet"):
-            raise ValueError("a raster is stored as a folder of Parquet files; leave out the extension or use .parquet")
-        spark = self.df.sparkSession
+        spark, kind = self.df.sparkSession, os.path.splitext(path)[1]
+        if kind == ".tif":
+            nodata = self.meta.nodata[0] if self.meta.nodata and len(set(map(str, self.meta.nodata))) == 1 else None
+            if nodata is None and self.dtype in ("float", "double"):
+                nodata = float("nan")
+            put_file(spark, path, geotiff.encode(self.to_numpy(), self.meta.geotransform, list(self.meta.bands), nodata, self.meta.crs), mode == "overwrite")
+            return replace(Raster.read(spark, path), strata=self.strata)
+        if kind not in ("", ".parquet"):
+            raise ValueError("a raster is stored as a folder of Parquet files (no extension, or .parquet) or as a .tif")
         self.df.write.mode(mode).parquet(f"{path}/pixels")
         meta = {k: getattr(self.meta, k) for k in ("width", "height", "geotransform", "bands", "crs", "nodata", "driver")}
         strata = {b: {"strata_count": s.strata_count, "descriptions": s.descriptions, "parts": s.parts} for b, s in self.strata.items()}
@@ -351,6 +364,17 @@ class Raster:
         return self.strata[name].equation(name)
 
 
+def put_file(spark: SparkSession, path: str, data: bytes, overwrite: bool = False) -> None:
+    """Writes a file from the driver to any file system that Spark knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, overwrite)
+    try:
+        for k in range(0, len(data), 1 << 24):
+            out.write(bytearray(data[k : k + (1 << 24)]))
+    finally:
+        out.close()
+
+
 def _shaped(array: np.ndarray, count: int, height: int, width: int) -> np.ndarray:
     array = np.asarray(array)
     array = array[None] if array.ndim == 2 else array

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shapefile
+from .raster import put_file
+
 _XY = "struct<x:double,y:double>"
 KINDS = {"Point": "array<double>", "MultiPoint": "array<array<double>>", "LineString": "array<array<double>>", "MultiLineString": "array<array<array<double>>>", "Polygon": "array<array<array<double>>>", "MultiPolygon": "array<array<array<array<double>>>>"}
 
@@ -33,9 +36,11 @@ class Vector:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, layer: str | None = None, crs: str = "") -> Vector:
-        """GeoJSON: a feature collection in one document, or a feature on each line."""
+        """GeoJSON (a feature collection in one document, or a feature on each line) or a shapefile."""
+        if path.lower().endswith(".shp"):
+            return shapefile.read(spark, path, layer or os.path.splitext(os.path.basename(path))[0], crs)
         if os.path.splitext(path)[1].lower() not in (".geojson", ".json", ".geojsonl"):
-            raise ValueError("vectors are read from .geojson, .json or .geojsonl")
+            raise ValueError("vectors are read from .geojson, .json, .geojsonl or .shp")
         name = layer or os.path.splitext(os.path.basename(path))[0]
         text = spark.read.text(path, wholetext=not path.endswith("l"))
         feature = "struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
@@ -155,14 +160,21 @@ class Vector:
         return self.points("samples").select(F.format_string("POINT (%s %s)", F.col("x").cast("string"), F.col("y").cast("string")).alias("wkt"))
 
     def write(self, path: str, layer: str | None = None, mode: str = "errorifexists") -> None:
-        """A folder of GeoJSON features, one on each line (.geojson), or of Parquet files (.parquet)."""
+        """A folder of GeoJSON features, one on each line (.geojson), or of Parquet files (.parquet); points also as a shapefile, put together on the driver."""
         kind = os.path.splitext(path)[1]
         if kind == ".parquet":
             self.layer(layer).write.mode(mode).parquet(path)
         elif kind == ".geojson":
             self._features(layer).write.mode(mode).text(path)
+        elif kind == ".shp":
+            spark, rows = self.layer(layer).sparkSession, self.points(layer).drop("fid").collect()
+            fields = {n: [r[n] for r in rows] for n in self.fields.get(self.layer_name(layer), [])}
+            for end, data in zip((".shp", ".shx", ".dbf"), shapefile.encode_points([(r["x"], r["y"]) for r in rows], fields), strict=True):
+                put_file(spark, path[:-4] + end, data, mode == "overwrite")
+            if self.crs:
+                put_file(spark, path[:-4] + ".prj", self.crs.encode(), mode == "overwrite")
         else:
-            raise ValueError("vectors are written as .geojson or .parquet")
+            raise ValueError("vectors are written as .geojson, .shp or .parquet")
 
     def _features(self, layer: str | None) -> DataFrame:
         name = self.layer_name(layer)

@@ -60,7 +60,7 @@ def test_geojson(spark, tmp_path):
     v.write(f"{tmp_path}/out.geojson")
     lines = [json.loads(r[0]) for r in spark.read.text(f"{tmp_path}/out.geojson").collect()]
     assert {x["geometry"]["type"] for x in lines} == {"Point", "MultiPoint"}
-    for wrong in ("x.png", "x.shp"):
+    for wrong in ("x.png", "x.gpkg"):
         with pytest.raises(ValueError):
             v.write(wrong)
     with pytest.raises(ValueError):
@@ -95,3 +95,81 @@ def test_queries_do_not_need_the_training_data_operators():
     code = "import sys; sys.modules['corpus_pipeline'] = sys.modules['terrastrata.llm'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__file__.rpartition("/tests/")[0], check=True).stdout.split()
     assert int(out[0]) > 50 and int(out[1]) > 45
+
+
+def test_geotiff_round_trip(spark, tmp_path):
+    a = np.random.default_rng(1).normal(0, 9, (2, 150, 70)).astype(np.float32)
+    a[0, 3, 4] = np.nan
+    r = ts.SpatialRaster.from_numpy(spark, a, GT, ["zq<90>", "b"], "EPSG:26917")
+    again = r.write(f"{tmp_path}/out.tif")
+    assert np.array_equal(again.to_numpy(), a, equal_nan=True)
+    assert again.meta.bands == r.meta.bands and again.meta.same_grid(r.meta) and again.meta.driver == "GTiff"
+    strata = ts.breaks(r, {"b": [0, 5]}, filename=f"{tmp_path}/strata.tif")
+    assert (ts.SpatialRaster.read(spark, f"{tmp_path}/strata.tif").band(0) == ts.breaks(r, {"b": [0, 5]}).band(0)).all() and strata.srast_info("b").count() == 3
+
+
+def test_geotiff_mosaic(spark, tmp_path):
+    from terrastrata.sources import geotiff
+
+    whole = np.arange(1200, dtype=np.int16).reshape(1, 30, 40)
+    for i, j in ((0, 0), (0, 25), (18, 0), (18, 25)):
+        part = whole[:, i : i + (18 if i == 0 else 12), j : j + (25 if j == 0 else 15)]
+        gt = (GT[0] + 20 * j, 20, 0, GT[3] - 20 * i, 0, -20)
+        with open(f"{tmp_path}/part{i}_{j}.tif", "wb") as f:
+            f.write(geotiff.encode(part, gt, ["z"], rows_per_strip=7))
+    r = ts.SpatialRaster.read(spark, f"{tmp_path}/*.tif")
+    assert (r.meta.width, r.meta.height) == (40, 30) and r.meta.geotransform == GT and (r.to_numpy() == whole).all()
+
+
+def lzw(data):
+    table, width, bits, n = {bytes([b]): b for b in range(256)}, 9, "", 258
+    bits += format(256, "09b")
+    w = b""
+    for byte in data:
+        c = w + bytes([byte])
+        if c in table:
+            w = c
+            continue
+        bits += format(table[w], f"0{width}b")
+        table[c], n, w = n, n + 1, bytes([byte])
+        if n == 4094:
+            bits += format(table[w], f"0{width}b") + format(256, "012b")
+            table, width, n, w = {bytes([b]): b for b in range(256)}, 9, 258, b""
+        elif n >= (1 << width):
+            width += 1
+    bits += (format(table[w], f"0{width}b") if w else "") + format(257, f"0{width}b")
+    bits += "0" * (-len(bits) % 8)
+    return bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8))
+
+
+def test_packed_data():
+    from terrastrata.sources import geotiff
+
+    assert geotiff._packbits(bytes([2, 1, 2, 3, 254, 7, 128, 0, 9])) == bytes([1, 2, 3, 7, 7, 7, 9])
+    for size in (0, 1, 300, 9000):
+        data = bytes(k * k % 251 for k in range(size))
+        assert geotiff._lzw(lzw(data)) == data
+
+
+def test_shapefiles(spark, tmp_path):
+    import struct
+
+    from terrastrata.sources import shapefile
+
+    v = ts.SpatialVector.from_rows(spark, "Point", [[1.5, 2.0], [3.0, -4.0]], "samples", "EPSG:1", {"existing": [1, 0], "name": ["é", None]})
+    v.write(f"{tmp_path}/s.shp")
+    again = ts.SpatialVector.read(spark, f"{tmp_path}/s.shp")
+    assert sorted((r["x"], r["y"], r["existing"], r["name"]) for r in again.points().collect()) == [(1.5, 2.0, "1", "é"), (3.0, -4.0, "0", None)]
+    assert again.crs == "EPSG:1" and again.layer_name() == "s"
+
+    def record(kind, parts):
+        flat = [p for part in parts for p in part]
+        starts = [sum(map(len, parts[:k])) for k in range(len(parts))]
+        body = struct.pack("<i4d2i", kind, 0, 0, 0, 0, len(parts), len(flat)) + struct.pack(f"<{len(parts)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in flat)
+        return struct.pack(">2i", 1, len(body) // 2) + body
+
+    outer, hole, other = [[0, 0], [0, 9], [9, 9], [9, 0], [0, 0]], [[2, 2], [4, 2], [4, 4], [2, 2]], [[20, 0], [20, 5], [25, 5], [20, 0]]
+    data = struct.pack(">i", 9994) + b"\0" * 96 + record(5, [outer, hole, other]) + record(3, [[[0, 0], [1, 1]]]) + record(3, [[[0, 0], [1, 1]], [[5, 5], [6, 6]]]) + struct.pack(">2i", 4, 2) + struct.pack("<i", 0)
+    got = shapefile.shapes(data)
+    assert got[0] == ("MultiPolygon", [[outer, hole], [other]]) and got[1] == ("LineString", [[0, 0], [1, 1]])
+    assert got[2] == ("MultiLineString", [[[0, 0], [1, 1]], [[5, 5], [6, 6]]]) and got[3] is None
