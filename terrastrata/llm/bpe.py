@@ -15,14 +15,15 @@ import hashlib
 from collections.abc import Iterator
 from itertools import chain, islice
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import remembering
 
-#: Distinct pieces (some 250 bytes each), prefixes and pairs that a worker remembers before it starts afresh.
-MEMORY, PREFIXES, PAIRS = 600_000, 200_000, 800_000
+#: Distinct pieces (some 250 bytes each) and pairs that a worker remembers before it starts afresh.
+MEMORY, PAIRS = 400_000, 600_000
 #: Pieces handled at once; bounds memory for very long texts.
 CHUNK = 50_000
 #: Largest vocabulary file that is broadcast.
@@ -45,7 +46,11 @@ class Vocabulary:
         self._left: dict[int, list[tuple[bytes, int]]] = {}
         self._right: dict[int, list[tuple[bytes, int]]] = {}
         self._halves: dict[int, tuple[bytes, ...]] = {}
-        self._prefixes: dict[bytes, list[int]] = {}
+        self.automaton = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self.automaton.add_word(token.decode("latin-1"), rank)
+        self.automaton.make_automaton()
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self._pairs: dict[int, bool] = {}
         self._decimals = {rank: str(rank) for rank in self.bytes_of}
 
@@ -97,18 +102,22 @@ class Vocabulary:
         key = first << 32 | second
         known = self._pairs.get(key)
         if known is None:
-            ranks = self.ranks
-            known = self.reachable(second)
-            for a, a_ends in self._edge(first, 1):
-                for b, b_ends in self._edge(second, 0):
-                    merged = ranks.get(a + b)
-                    if merged is not None and merged < a_ends and merged <= b_ends:
-                        known = False
             if len(self._pairs) > PAIRS:
                 self._pairs.clear()
-            self._pairs[key] = known
+            known = self._pairs[key] = self._stay(first, second)
         return known
 
+    def _stay(self, first: int, second: int) -> bool:
+        if not self.reachable(second):
+            return False
+        rank, right = self.ranks.get, self._edge(second, 0)
+        for a, a_ends in self._edge(first, 1):
+            for b, b_ends in right:
+                merged = rank(a + b)
+                if merged is not None and merged < a_ends and merged <= b_ends:
+                    return False
+        return True
+
     def last_token(self, piece: bytes, end: int, table: list[int]) -> int:
         """The token that ends the encoding of piece[:end], from the entries of shorter prefixes."""
         tails, pairs, found = self.tails, self._pairs, []
@@ -137,18 +146,24 @@ class Vocabulary:
             table.append(last(piece, end, table))
         return table
 
-    def shared_table(self, piece: bytes) -> list[int]:
-        """table() of the piece; entries of its prefixes of 4, 8, 12, ... bytes are kept for other pieces."""
-        size = (len(piece) - 1) // 4 * 4
-        if size <= 0:
-            return self.table(piece)
-        prefix = piece[:size]
-        known = self._prefixes.get(prefix)
-        if known is None:
-            if len(self._prefixes) >= PREFIXES:
-                self._prefixes.clear()
-            known = self._prefixes[prefix] = self.shared_table(prefix) if size < 64 else self.table(prefix)
-        return self.table(piece, known)
+    def whole_table(self, piece: bytes) -> list[int]:
+        """table() of a piece at once: an automaton names the tokens that end at each byte, the longest first."""
+        table, pairs, sizes, halves = [-1] * (len(piece) + 1), self._pairs, self.sizes, self._halves
+        for last, token in self.automaton.iter(piece.decode("latin-1")):
+            end = last + 1
+            if table[end] >= 0:
+                continue
+            start = end - sizes[token]
+            if start:
+                stays = pairs.get(table[start] << 32 | token)
+                if stays is None:
+                    stays = self.compatible(table[start], token)
+            else:
+                known = halves.get(token)
+                stays = self.reachable(token) if known is None else len(known) <= 2
+            if stays:
+                table[end] = token
+        return table
 
     def read(self, table: list[int]) -> tuple[int, ...]:
         out, end = [], len(table) - 1
@@ -160,7 +175,7 @@ class Vocabulary:
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """A piece that is itself a token stays whole, whether or not merges reach it."""
         whole = self.ranks.get(piece)
-        return (whole,) if whole is not None else self.read(self.shared_table(piece))
+        return (whole,) if whole is not None else self.read(self.whole_table(piece))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -263,7 +278,7 @@ def _codec(data: bytes, pattern: str) -> Codec:
         _codecs.clear()
         _codecs[key] = Codec(Vocabulary.load(data), pattern)
     codec = _codecs[key]
-    remembering("bpe", codec.known, codec.vocabulary._prefixes, codec.vocabulary._pairs)
+    remembering("bpe", codec.known, codec.vocabulary._pairs)
     return codec
 
 
