@@ -124,10 +124,11 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, others: list[tuple[int, np.n
     w, b, rate_ = np.zeros(len(chosen)), 0.0, 1.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, rounds + 1):
-        off = (1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40))) - toxic) / n
-        grad, grad_b = x.T @ off + penalty * w / len(w) if len(w) else w, off.sum()
+        w32 = w.astype(np.float32)  # else the matrices would be cast in each round
+        off = (1 / (1 + np.exp(-np.clip(x @ w32 + b, -40, 40))) - toxic) / n
+        grad, grad_b = x.T @ off.astype(np.float32) + penalty * w / len(w) if len(w) else w, off.sum()
         if len(others):
-            grad = grad + balance * 2 * (change.T @ (change @ w)) / n
+            grad = grad + balance * 2 * (change.T @ (change @ w32)) / n
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * grad_b, 0.99 * vb + 0.01 * grad_b * grad_b
         lr = 0.1 * rate_ / (1 + step / 200)
