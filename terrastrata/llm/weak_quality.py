@@ -3,8 +3,8 @@
 Heuristic labellers each vote good, bad or nothing on a document. Expectation-maximisation over the table of vote
 patterns, which has at most 3 ** (number of labellers) rows whatever the corpus, estimates the share of good documents and
 how each labeller votes on good and on bad ones; documents' posterior probabilities follow. They are the labels of a
-linear scorer over hashed tokens, which is fitted on a bounded sample of ``sample_rows`` documents (those of the smallest hashed ids)
-and then scores every whole text. Votes, patterns and scores cover all documents.
+linear scorer over hashed tokens, which is fitted on a bounded sample of ``sample_rows`` documents (those of the smallest hashed ids),
+of whose whole texts the driver gets the features alone, and then scores every whole text. Votes, patterns and scores cover all documents.
 
 A null or empty text gets no votes and the posterior of the empty pattern; its score is that of no tokens. Documents
 with a score below ``threshold`` are rejected. Repeated rows are judged alike; an empty table gives an empty one.
@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from .text import SPACES, packed, remembering
 
-#: Documents from which the scorer is fitted, and the most words read of each of these (the scorer itself reads whole texts).
-SAMPLE_ROWS, SAMPLE_WORDS = 8000, 2000
+#: Documents from which the scorer is fitted; each is read whole.
+SAMPLE_ROWS = 8000
 FEATURES = 1 << 12
+#: A feature that is not 0 and its value, as the driver gets them.
+_CELL = np.dtype([("at", "<u2"), ("x", "<f4")])
 #: Added to the length by which features are scaled: a few words say little.
 DAMPING = 4.0
 GOOD, BAD, NONE = 1, 0, -1
@@ -115,25 +117,31 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, max_fa
     return share, alarm, good
 
 
-def features(text: str | None, most: int | None = None) -> np.ndarray:
+def features(text: str | None) -> np.ndarray:
     """Counts of the hashed words, word shapes and repeats of the word before, scaled to unit length, or less for short texts."""
-    w = [x for x in _SPACES.split(text or "") if x][:most]
+    w = [x for x in _SPACES.split(text or "") if x]
     codes = _codes(w)
     x = np.bincount(codes & 0xFFFFF, minlength=FEATURES) + np.bincount((codes >> 20) & 0xFFFFF, minlength=FEATURES).astype(float)
     x[_AGAIN] += sum(map(eq, w, w[1:]))
     return x / (np.sqrt((x * x).sum()) + DAMPING)
 
 
-def fit(texts: list[str | None], good: np.ndarray, rounds: int = 300, penalty: float = 1e-4, rate: float = 4.0) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels; both classes weigh the same."""
-    x = np.empty((len(texts), FEATURES), np.float32)
-    for k, t in enumerate(texts):
-        x[k] = features(t, SAMPLE_WORDS)
+def _cells(text: str | None) -> bytes:
+    """The features that are not 0."""
+    x = features(text)
+    out = np.empty(np.count_nonzero(x), _CELL)
+    out["at"] = np.flatnonzero(x)
+    out["x"] = x[out["at"]]
+    return out.tobytes()
+
+
+def fit(x: np.ndarray, good: np.ndarray, rounds: int = 300, penalty: float = 1e-4, rate: float = 4.0) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels, from a row of features (single precision) for each text; both classes weigh the same."""
     weight, bias, good = np.zeros(FEATURES, np.float32), np.float32(0), np.asarray(good, np.float32)
     each = (np.where(good >= 0.5, 1 / max(1.0, (good >= 0.5).sum()), 1 / max(1.0, (good < 0.5).sum())) / 2).astype(np.float32)
     speed, speed_b = np.zeros(FEATURES, np.float32), np.float32(0)
     penalty, rate = np.float32(penalty), np.float32(rate)
-    for _ in range(rounds if len(texts) else 0):
+    for _ in range(rounds if len(x) else 0):
         off = each * (1 / (1 + np.exp(-(x @ weight + bias))) - good)
         speed = np.float32(0.9) * speed + (x.T @ off + penalty * weight)
         speed_b = np.float32(0.9) * speed_b + off.sum()
@@ -170,11 +178,21 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id
             some = some.orderBy("h", "h2").limit(sample_rows // 2)
             chosen = some if chosen is None else chosen.unionByName(some)
     chosen = chosen.dropDuplicates(["h", "h2"])
+
+    @F.pandas_udf("binary")
+    def cells(texts: pd.Series) -> pd.Series:
+        remembering("weak_quality", _words)
+        return pd.Series([_cells(t) for t in texts], dtype=object)
+
     text_ = F.col(f"`{text}`")
-    rows = docs.select(F.xxhash64(F.col(f"`{doc_id}`")).alias("h"), F.xxhash64(text_).alias("h2"), F.substring(text_, 1, 8 * SAMPLE_WORDS).alias("text"))
-    rows = rows.join(F.broadcast(chosen), ["h", "h2"]).dropDuplicates(["h", "h2"]).select("h", "h2", "v", "text").toArrow()
+    rows = docs.select(F.xxhash64(F.col(f"`{doc_id}`")).alias("h"), F.xxhash64(text_).alias("h2"), text_.alias("text"))
+    rows = rows.join(F.broadcast(chosen), ["h", "h2"]).select("h", "h2", "v", cells("text").alias("cells")).dropDuplicates(["h", "h2"]).toArrow()
     rows = rows.sort_by([("h", "ascending"), ("h2", "ascending")])
-    return fit(rows["text"].to_pylist(), np.array([posterior[tuple(v)] for v in rows["v"].to_pylist()]))
+    x = np.zeros((len(rows), FEATURES), np.float32)
+    for k, row in enumerate(rows["cells"]):
+        own = np.frombuffer(row.as_buffer(), _CELL)
+        x[k, own["at"]] = own["x"]
+    return fit(x, np.array([posterior[tuple(v)] for v in rows["v"].to_pylist()]))
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> Column:

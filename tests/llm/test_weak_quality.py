@@ -73,3 +73,14 @@ def test_votes_of_hard_texts():
     assert weak_quality.votes(None) == weak_quality.votes("") == (-1,) * 7
     assert weak_quality.votes("HELLO WORLD " * 30)[0] == 0
     assert weak_quality.votes("same " * 200)[5] == 0
+
+
+def test_scorer_is_fitted_on_whole_texts(spark):
+    rows, good = corpus(count=120)
+    long = [(1000 + k, " ".join(t.split() * 40)[:17000] + " " + " ".join(["zzgarble###"] * 2500)) for k, (_, t) in enumerate(rows) if good[k]][:30]
+    weight, bias = weak_quality.train(documents(spark, rows + long))
+    assert all(weak_quality.votes(t)[1] == weak_quality.BAD for _, t in long)
+    x = np.array([weak_quality.features(t) for _, t in long])
+    seen = x[:, weak_quality._codes(["zzgarble###"])[0] & 0xFFFFF]
+    assert (seen > 0).all() and weight[weak_quality._codes(["zzgarble###"])[0] & 0xFFFFF] < -0.1
+    assert (1 / (1 + np.exp(-(x @ weight + bias))) < 0.3).all()
