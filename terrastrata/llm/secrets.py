@@ -6,7 +6,7 @@ covers, by the path it was found under, and by the words beside it. It is traine
 caller can pass; ``labelled_findings`` makes a set of known keys, random tokens and passwords against checksums,
 identifiers, placeholders, plain words and numbers.
 
-Whole texts are scanned; a candidate that an assignment and a bare pattern both find is reported once. Null and empty texts
+Whole texts are scanned, and a candidate is a value whole, however long it is; a candidate that an assignment and a bare pattern both find is reported once. Null and empty texts
 have none. A null path counts as an empty one, a null doc_id is carried along, repeated rows are reported each.
 """
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 #: Kinds of candidates, in the order in which overlapping ones are preferred.
 PATTERNS = (
     ("access_key", re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16})(?![A-Za-z0-9])")),
-    ("assigned", re.compile(r"""(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?[ \t]{0,2}[:=][ \t]{0,2}["']?([^\s"',;]{6,256})""")),
-    ("token", re.compile(r"(?<![A-Za-z0-9+/_\-])([A-Za-z0-9+/_\-]{20,256}={0,2})(?![A-Za-z0-9+/_\-])")),
+    ("assigned", re.compile(r"""(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?[ \t]{0,2}[:=][ \t]{0,2}["']?([^\s"',;]{6,})""")),
+    ("token", re.compile(r"(?<![A-Za-z0-9+/_\-])([A-Za-z0-9+/_\-]{20,}={0,2})(?![A-Za-z0-9+/_\-])")),
 )
 #: Words that speak for and against a secret when beside a candidate or in its path.
 FOR = ("password", "passwd", "pwd", "secret", "token", "key", "api", "auth", "bearer", "credential", "access")
@@ -201,6 +201,21 @@ def labelled_findings(count: int = 2400, seed: int = 7) -> list[tuple[str, str,
             ("access_key", "AKIA" + r.choice(["IOSFODNN7EXAMPLE", "XXXXXXXXXXXXXXXX", "0000000000000000"]), f"{words(2)} example ", " " + words(2)),
         ][k % 8]
         out.append((*harmless, r.choice(paths + tests), 0))
+    for k in range(count // 20):  # keys, signatures and signed tokens of any length against encoded prose, listings and data
+        n, name = round(math.exp(r.uniform(math.log(64), math.log(4000)))), r.choice(["secret", "token", "api_key"])
+        secret = [
+            ("token", "eyJhbGciOiJSUzI1NiJ9" + code(every + "-_", n), f"{r.choice(['auth', 'bearer', 'access token'])} ", " " + words(2)),
+            ("token", "MII" + code(every + "+/", n) + r.choice(["", "=", "=="]), f"{words(2)} {r.choice(['key', 'secret key', 'api key'])} ", " " + words(2)),
+            ("assigned", code(every + r.choice(["", "+/", "-_."]), n), f"{words(2)} {name}{r.choice(['=', ': ', ' = '])}", " " + words(2)),
+        ][k % 3]
+        out.append((*secret, r.choice(paths), 1))
+        harmless = [
+            ("token", base64.b64encode(words(1 + n // 5).encode()).decode().rstrip("="), f"{r.choice(['example', 'digest', 'sample'])} ", " " + words(2)),
+            ("token", "/".join(r.choice(prose) for _ in range(2 + n // 7)) + "/" + str(r.randint(1, 2030)), words(2) + " ", " " + words(2)),
+            ("token", code(hexes, n), f"{r.choice(['checksum', 'hash', 'digest', 'sha256'])} ", " " + words(2)),
+            ("assigned", "_".join(r.choice(prose) for _ in range(2 + n // 7)), f"{words(2)} {name}{r.choice(['=', ': ', ' = '])}", " " + words(2)),
+        ][k % 4]
+        out.append((*harmless, r.choice(paths + tests), 0))
     return out
 
 

@@ -47,3 +47,24 @@ def test_odd_rows_and_empty_table(spark):
 def test_forest_of_one_class():
     trees = secrets.forest([f for f in secrets.labelled_findings(200) if f[5] == 1], trees=3)
     assert secrets.predict(trees, np.zeros((4, len(secrets.FEATURES)))).tolist() == [1.0] * 4
+
+
+def test_long_values_are_found_whole(spark):
+    import hashlib
+
+    r = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    code = lambda n: "".join(r.choices(letters, k=n))
+    signed = f"eyJhbGciOiJSUzI1NiJ9{code(342)}"
+    values = [signed, "MII" + code(1600) + "==", code(300), code(5000)]
+    rows = [(1, f"auth bearer {values[0]} sent"), (2, f"secret key {values[1]} end"), (3, f"config token = {values[2]} end"), (4, f"api_key: {values[3]} end")]
+    got = {x["doc_id"]: x for x in secrets.scan(documents(spark, rows), TREES).collect()}
+    assert {k: (x["length"], x["value_sha256"], x["secret"]) for k, x in got.items()} == {
+        k: (len(v), hashlib.sha256(v.encode()).hexdigest(), True) for k, v in enumerate(values, 1)
+    }
+
+
+def test_held_out_findings_of_over_256_characters():
+    test = [f for f in secrets.labelled_findings(6000, seed=98) if len(f[1]) > 256]
+    wrong = sum((p >= 0.5) != f[5] for p, f in zip(secrets.predict(TREES, np.array([secrets.describe(*f[:5]) for f in test], float)), test))
+    assert len(test) > 200 and wrong <= 0.05 * len(test)
