@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from .components import connected_components
-from .text import byte_words, packed
+from .text import byte_words
 
 #: Shingles hashed at once, so that a very long text needs no more memory.
 SHINGLES_AT_ONCE = 1 << 16
@@ -205,11 +205,16 @@ def linked_fingerprints(distinct: DataFrame, budget: int = 4, part_size: int = 2
     return rows.mapInPandas(_links(budget, widths), "a long, b long")
 
 
-def _components(prints: DataFrame, budget: int, part_size: int) -> DataFrame:
-    """fp and component_id of each fingerprint in prints (doc_id, fp)."""
-    smallest = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(linked_fingerprints(smallest.select("fp"), budget, part_size)).withColumnRenamed("node", "fp")
-    linked = checkpointed(smallest.join(roots, "fp"))
+def _components(prints: DataFrame, budget: int, part_size: int, by: str = "doc_id") -> DataFrame:
+    """fp and component_id, the smallest ``by`` of its component, of each fingerprint in prints."""
+    smallest = checkpointed(prints.groupBy("fp").agg(F.min(by).alias("first")))
+    return _firsts(smallest, linked_fingerprints(smallest.select("fp"), budget, part_size))
+
+
+def _firsts(smallest: DataFrame, edges: DataFrame) -> DataFrame:
+    """fp and component_id of each row of smallest (fp, first): the least first that its fp reaches over the edges (a, b)."""
+    roots = connected_components(edges).withColumnRenamed("node", "fp")
+    linked = checkpointed(smallest.select("fp", "first").join(roots, "fp"))
     of_root = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     component = linked.join(of_root, "root").select("fp", "component_id")
     # stored, so that a join with it has an exchange on either side, which adaptive execution can split at a fingerprint of very many rows
@@ -229,14 +234,30 @@ def near_duplicates(
 def first_of_group(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, budget: int = 4, part_size: int = 2048
 ) -> DataFrame:
-    """The rows, with all their columns, whose doc_id is the smallest of their component; of repeated rows one.
+    """One row, with all its columns, of each component: of those with the smallest doc_id, one with the smallest hash of its text.
 
-    Rows without a doc_id stay only in components in which no row has one. Texts without words share fingerprint zero and are one
-    group: they say nothing of being copies, so all of them stay.
+    A row without a doc_id stays only if no row of its component has one. Rows are told apart by doc_id and text, so a doc_id that
+    other texts have too, or none, costs no other row its place; of rows with the same of both one stays. Texts without words are one
+    group by their fingerprint: they say nothing of being copies, so all of them stay.
     """
-    prints = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    prints = checkpointed(prints.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", fingerprint(F.col("text"), shingle, seed).alias("fp")))
-    component = _components(prints, budget, part_size)
-    dropped = prints.join(component, "fp").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = packed(docs, doc_id).withColumnRenamed(doc_id, "id__")
-    return rows.join(dropped, F.col("id__").eqNullSafe(F.col("doc_id")), "left_anti").select("row__.*")
+    id_, text_ = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    prints = docs.select(id_.alias("doc_id"), F.xxhash64(text_).alias("key"), text_.alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    prints = checkpointed(prints.select("doc_id", "key", rank.alias("rank"), fingerprint(F.col("text"), shingle, seed).alias("fp")))
+    component = _components(prints, budget, part_size, "rank")
+    return _chosen(docs, prints, component, id_, text_)
+
+
+def _chosen(docs: DataFrame, prints: DataFrame, component: DataFrame, id_: Column, text_: Column) -> DataFrame:
+    """The rows of docs that are the first of their component, once, and those that are not in prints (doc_id, key, rank, fp)."""
+    first = F.col("rank").eqNullSafe(F.col("component_id"))
+    marks = prints.join(component, "fp").groupBy("doc_id", "key").agg(F.max(first).alias("first"), F.count("*").alias("n"))
+    marks = checkpointed(marks.where("n > 1 OR NOT first").drop("n"))
+    rows = docs.select(F.struct("*").alias("row__"), id_.alias("id__"), F.xxhash64(text_).alias("key__"))
+    same = F.col("id__").eqNullSafe(F.col("doc_id")) & (F.col("key__") == F.col("key"))
+    out = rows.join(marks, same, "left_anti").select("row__.*")
+    again = marks.where("first")
+    if again.isEmpty():
+        return out
+    once = rows.join(again, same).groupBy("id__", "key__").agg(F.min_by("row__", F.to_json("row__")).alias("row__"))
+    return out.union(once.select("row__.*"))

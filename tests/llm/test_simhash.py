@@ -102,3 +102,14 @@ def test_long_chains_become_one_component(spark):
     got = connected_components(edges)
     assert got.count() == 401 and got.select("root").distinct().count() == 1
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_rows_not_ids_decide_who_stays(spark):
+    a, b, c = near_copies(1, 200, 0, 9)[0], near_copies(1, 200, 0, 10)[0], near_copies(1, 200, 0, 11)[0]
+
+    def kept(*rows):
+        return sorted(((r["doc_id"], r["text"]) for r in simhash.first_of_group(documents(spark, rows)).collect()), key=str)
+
+    assert kept((5, a), (None, a), (None, b), (None, " ")) == sorted([(5, a), (None, b), (None, " ")], key=str)
+    assert kept((3, a), (7, a), (7, c)) == [(3, a), (7, c)]
+    assert kept((5, a), (5, a), (None, b), (None, b), (None, b)) == sorted([(5, a), (None, b)], key=str)
