@@ -26,8 +26,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    return simhash.first_of_group(docs)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard similarity from 0.8 up): the one with the smallest doc_id."""
+    return simhash.first_of_group(docs, shingle=5, similarity=0.8)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from . import shingle_sets
 from .components import connected_components
 from .text import byte_words
 
@@ -208,12 +209,12 @@ def linked_fingerprints(distinct: DataFrame, budget: int = 4, part_size: int = 2
 def _components(prints: DataFrame, budget: int, part_size: int, by: str = "doc_id") -> DataFrame:
     """fp and component_id, the smallest ``by`` of its component, of each fingerprint in prints."""
     smallest = checkpointed(prints.groupBy("fp").agg(F.min(by).alias("first")))
-    return _firsts(smallest, linked_fingerprints(smallest.select("fp"), budget, part_size))
+    return _firsts(smallest, connected_components(linked_fingerprints(smallest.select("fp"), budget, part_size)))
 
 
-def _firsts(smallest: DataFrame, edges: DataFrame) -> DataFrame:
-    """fp and component_id of each row of smallest (fp, first): the least first that its fp reaches over the edges (a, b)."""
-    roots = connected_components(edges).withColumnRenamed("node", "fp")
+def _firsts(smallest: DataFrame, roots: DataFrame) -> DataFrame:
+    """fp and component_id of each row of smallest (fp, first): the least first among those with the same root in roots (node, root)."""
+    roots = roots.withColumnRenamed("node", "fp")
     linked = checkpointed(smallest.select("fp", "first").join(roots, "fp"))
     of_root = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     component = linked.join(of_root, "root").select("fp", "component_id")
@@ -231,20 +232,20 @@ def near_duplicates(
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_group(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, budget: int = 4, part_size: int = 2048
-) -> DataFrame:
+def first_of_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, part_size: int = 256) -> DataFrame:
     """One row, with all its columns, of each component: of those with the smallest doc_id, one with the smallest hash of its text.
 
-    A row without a doc_id stays only if no row of its component has one. Rows are told apart by doc_id and text, so a doc_id that
-    other texts have too, or none, costs no other row its place; of rows with the same of both one stays. Texts without words are one
-    group by their fingerprint: they say nothing of being copies, so all of them stay.
+    Texts are linked if the Jaccard similarity of their sets of word shingles is at least ``similarity`` (see shingle_sets). A row
+    without a doc_id stays only if no row of its component has one. Rows are told apart by doc_id and text, so a doc_id that
+    other texts have too, or none, costs no other row its place; of rows with the same of both one stays. Texts without words
+    say nothing of being copies, so all of them stay.
     """
     id_, text_ = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     prints = docs.select(id_.alias("doc_id"), F.xxhash64(text_).alias("key"), text_.alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    prints = checkpointed(prints.select("doc_id", "key", rank.alias("rank"), fingerprint(F.col("text"), shingle, seed).alias("fp")))
-    component = _components(prints, budget, part_size, "rank")
+    prints = checkpointed(prints.select("doc_id", "key", rank.alias("rank"), shingle_sets.sketch(F.col("text"), shingle).alias("s")).select("doc_id", "key", "rank", "s.*"))
+    sets = checkpointed(prints.groupBy("fp").agg(F.min("rank").alias("first"), F.first("bands").alias("bands")))
+    component = _firsts(sets, shingle_sets.components(docs, sets, id_, text_, shingle, similarity, part_size))
     return _chosen(docs, prints, component, id_, text_)
 
 

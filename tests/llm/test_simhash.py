@@ -113,3 +113,25 @@ def test_rows_not_ids_decide_who_stays(spark):
     assert kept((5, a), (None, a), (None, b), (None, " ")) == sorted([(5, a), (None, b), (None, " ")], key=str)
     assert kept((3, a), (7, a), (7, c)) == [(3, a), (7, c)]
     assert kept((5, a), (5, a), (None, b), (None, b), (None, b)) == sorted([(5, a), (None, b)], key=str)
+
+
+def brute_sets(text):
+    w = brute_words(text.lower())
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+
+@pytest.mark.parametrize("part_size", [256, 7])
+def test_first_of_group_against_all_pairs_by_jaccard(spark, part_size):
+    texts = [t for seed in range(6) for t in near_copies(12, 120, 5, 20 + seed)] + near_copies(40, 150, 3, 40) + ["A b C", "a B c", "solo"]
+    base = near_copies(1, 300, 0, 50)[0].split()
+    texts += [" ".join(base[k * 20 : k * 20 + 200]) for k in range(6)]  # a chain, the ends of which share little
+    sets = [brute_sets(t) for t in texts]
+    group, far = list(range(len(texts))), 0
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in near:
+        far += (simhash.fingerprint_of(texts[i]) ^ simhash.fingerprint_of(texts[j])).bit_count() > 4
+        low, high = sorted((group[i], group[j]))
+        group = [low if g == high else g for g in group]
+    assert far > 100 and len(set(group)) > 10
+    got = simhash.first_of_group(documents(spark, list(enumerate(texts))).repartition(5), part_size=part_size).select("doc_id").collect()
+    assert sorted(r[0] for r in got) == sorted(set(group))
