@@ -1,11 +1,14 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched by every training passage with block-max WAND.
 
 Test items are documents of a small inverted index; impacts are BM25 scores divided by the score of the item against
-itself, so that 1 means the whole item is there. Postings are cut into blocks of items, with each term's largest impact
-in each block. A passage takes every block whose sum of maxima over the passage's distinct terms reaches the threshold,
-and only in these are postings read and full scores formed: all items at or above the threshold are found, as with
-document-at-a-time pivoting, but for many passages at once. A passage none of whose blocks can reach it is left
-after the block sums.
+itself, so that 1 means the whole item is there. Document frequencies and the mean length are those of the whole benchmark. The postings of
+a term are in the order of items and cut into blocks, each with its last item and its largest impact. A passage's distinct terms each have a cursor.
+WAND sorts the cursors by their items and adds up the terms' largest impacts until the threshold is reached: no item before that pivot can
+reach it. If the maxima of the blocks that may hold the pivot reach it too, its score is formed, else all cursors skip the shortest of these
+blocks. All items at or above the threshold are found, and most postings are never read.
+
+Before that, all passages of a document go through one bound at once: an item can reach the threshold only if enough of the impact of its rarest
+terms is in the passage (``Index.possible``), which no passage without a likely match passes. The bound is exact: it never loses an item.
 
 A passage is a run of ``2 * stride`` words that starts at every multiple of ``stride``, the number of words of the longest
 item; so every copy of an item lies in one passage whole. What is retrieved is verified on the document: the share of
@@ -14,24 +17,30 @@ sentences but the last, the answer is the last; an item of one sentence is both.
 
 Words are lower-cased, without punctuation at their ends. Null and empty texts and items match nothing.
 A null doc_id or item_id is carried along. Repeated items are found each; repeated documents too. The index is made of the whole benchmark and
-broadcast; it must not be larger than ``MAX_INDEX_WORDS``, beyond which the benchmark is searched in several parts.
+broadcast; beyond ``MAX_INDEX_WORDS`` it is made in several parts, with the same statistics and passages and so the same scores, and each part is
+searched in turn. The benchmark's vocabulary with its document frequencies is on the driver.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import byte_words, remembering
+
 K1, B = 1.2, 0.75
 #: Words of all items in one index; some 100 bytes each.
 MAX_INDEX_WORDS = 2_000_000
-#: Cells (passages x blocks) summed at once.
-CELLS = 1 << 22
+#: Postings in a block. Words and passages that a worker remembers before it starts afresh.
+BLOCK, MEMORY, PASSAGES = 4, 1 << 19, 1 << 12
 _EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»„“”‘’…–—¿¡"
 _SPACES = " \t\n\v\f\r"
 
@@ -53,90 +62,194 @@ def shingles(words: list[str], size: int) -> set[tuple[str, ...]]:
     return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of the whole benchmark: items with words, their mean and largest number of words, and in how many of them each word is."""
+
+    count: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+    @staticmethod
+    def of(texts: Iterator[str | None]) -> Statistics:
+        count = total = longest = 0
+        df: Counter[str] = Counter()
+        for text in texts:
+            if words := terms(text):
+                count, total, longest = count + 1, total + len(words), max(longest, len(words))
+                df.update(set(words))
+        return Statistics(count, total / max(1, count), max(1, longest), dict(df))
+
+
+class _Known(dict):
+    """The term of each word as it stands in a text: -1 if no item has it, -2 if it is punctuation only."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        plain = word.decode("utf-8", "surrogatepass").lower().strip(_EDGE)
+        got = self[word] = self.vocabulary.get(plain, -1) if plain else -2
+        return got
+
+
 class Index:
-    """Inverted index of test items with block maxima."""
+    """Inverted index of test items with block maxima.
 
-    def __init__(self, items: list[tuple[object, str | None]], block: int = 4, shingle: int = 5):
-        self.shingle = shingle
+    ``read`` counts the postings that have been looked at.
+    """
+
+    def __init__(self, items: list[tuple[object, str | None]], stats: Statistics | None = None, block: int = BLOCK, shingle: int = 5):
+        self.shingle, self.block = shingle, block
+        stats = stats or Statistics.of(t for _, t in items)
         kept = [(i, t, terms(t)) for i, t in items]
-        kept = sorted((x for x in kept if x[2]), key=lambda x: " ".join(x[2]))
+        # neighbours are alike, so that block maxima are close to what their items have
+        kept = sorted((x for x in kept if x[2]), key=lambda x: (len(x[2]), " ".join(x[2])))
         self.ids = [i for i, _, _ in kept]
         self.parts = [tuple(shingles(p, shingle) for p in question_and_answer(t)) for _, t, _ in kept]
-        self.longest = max((len(w) for *_, w in kept), default=1)
+        self.longest = stats.longest
         self.vocabulary: dict[str, int] = {}
-        counts: list[dict[int, int]] = []
-        for *_, words in kept:
-            own: dict[int, int] = {}
-            for w in words:
-                t = self.vocabulary.setdefault(w, len(self.vocabulary))
-                own[t] = own.get(t, 0) + 1
-            counts.append(own)
-        df = np.zeros(len(self.vocabulary))
-        for own in counts:
-            df[list(own)] += 1
-        idf = np.log1p((len(kept) - df + 0.5) / (df + 0.5))
-        mean = sum(len(w) for *_, w in kept) / max(1, len(kept))
         triples = []
-        for item, own in enumerate(counts):
-            norm = K1 * (1 - B + B * sum(own.values()) / mean)
-            scores = {t: idf[t] * n * (K1 + 1) / (n + norm) for t, n in own.items()}
+        for item, (*_, words) in enumerate(kept):
+            norm = K1 * (1 - B + B * len(words) / stats.mean)
+            scores = {}
+            for w, n in Counter(words).items():
+                df = stats.df[w]
+                scores[self.vocabulary.setdefault(w, len(self.vocabulary))] = np.log1p((stats.count - df + 0.5) / (df + 0.5)) * n * (K1 + 1) / (n + norm)
             whole = sum(scores.values())
-            triples += [(t, item, s / whole) for t, s in scores.items()]
+            triples += [(t, item, float(s / whole)) for t, s in scores.items()]
         triples.sort()
-        self.items = np.array([x[1] for x in triples], np.int64)
-        self.impacts = np.array([x[2] for x in triples])
+        self.rarity = [stats.df[w] for w in self.vocabulary]
+        self.items, self.impacts = [x[1] for x in triples], [x[2] for x in triples]
         term = np.array([x[0] for x in triples], np.int64)
-        self.starts = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
-        self.block_of = np.arange(len(kept)) // block
-        self.blocks = int(self.block_of[-1]) + 1 if kept else 0
-        pairs, first = np.unique(term * max(1, self.blocks) + self.block_of[self.items], return_index=True) if kept else (np.empty(0, np.int64),) * 2
-        self.block_max = np.maximum.reduceat(self.impacts, first) if kept else np.empty(0)
-        self.block_ids = pairs % max(1, self.blocks)
-        self.block_starts = np.searchsorted(pairs // max(1, self.blocks), np.arange(len(self.vocabulary) + 1))
-
-    def search(self, passage: np.ndarray, term: np.ndarray, count: int, threshold: float) -> list[tuple[int, int, float]]:
-        """(passage, item, score) of all scores from ``threshold`` up, from the distinct (passage, term) pairs."""
-        cells = np.zeros(count * self.blocks)
-        own, at = _spread(self.block_starts, term)
-        np.add.at(cells, passage[own] * self.blocks + self.block_ids[at], self.block_max[at])
-        open_ = cells >= threshold - 1e-9
-        if not open_.any():
+        self.starts = np.searchsorted(term, np.arange(len(self.vocabulary) + 1)).tolist()
+        self.block_starts, self.block_last, self.block_max = [0], [], []
+        for a, b in zip(self.starts, self.starts[1:], strict=False):
+            for k in range(a, b, block):
+                self.block_last.append(self.items[min(k + block, b) - 1])
+                self.block_max.append(max(self.impacts[k : min(k + block, b)]))
+            self.block_starts.append(len(self.block_last))
+        self.top = [max(self.block_max[a:b]) for a, b in zip(self.block_starts, self.block_starts[1:], strict=False)]
+        self.__setstate__(self.__dict__)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "found", "rare", "read")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.known, self.found, self.rare, self.read = _Known(self.vocabulary), {}, {}, 0
+
+    def search(self, term: list[int], threshold: float) -> list[tuple[int, float]]:
+        """(item, score) of all scores from ``threshold`` up, of a passage's distinct terms."""
+        items, impacts, last, most, top = self.items, self.impacts, self.block_last, self.block_max, self.top
+        least, found = threshold - 1e-9, []
+        cursors = [[items[self.starts[t]], self.starts[t], t] for t in term]
+        self.read += len(cursors)
+        while cursors:
+            cursors.sort()
+            bound, pivot = 0.0, -1
+            for k, (_, _, t) in enumerate(cursors):
+                bound += top[t]
+                if bound >= least:
+                    pivot = k
+                    break
+            if pivot < 0:
+                break
+            item = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
+                pivot += 1
+            head = cursors[: pivot + 1]
+            bound, ahead = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else len(self.ids)
+            for _, at, t in head:
+                first = self.block_starts[t]
+                b = bisect_left(last, item, first + (at - self.starts[t]) // self.block, self.block_starts[t + 1])
+                if b < self.block_starts[t + 1]:
+                    bound += most[b]
+                    ahead = min(ahead, last[b] + 1)
+            if bound < least:
+                goal = ahead
+            elif head[0][0] == item:
+                score = sum(impacts[at] for _, at, _ in head)
+                if score >= least:
+                    found.append((item, score))
+                goal = item + 1
+            else:
+                goal = item
+            for c in head:
+                if c[0] < goal:
+                    c[1] = bisect_left(items, goal, c[1] + 1, self.starts[c[2] + 1])
+                    if c[1] < self.starts[c[2] + 1]:
+                        c[0] = items[c[1]]
+                        self.read += 1
+                    else:
+                        c[0] = -1
+            cursors = [c for c in cursors if c[0] >= 0]
+        return found
+
+    def _rare(self, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Postings of the rarest terms of each item, half a threshold more of its score than it may lack, and how much of these a passage needs."""
+        if threshold not in self.rare:
+            own: list[list[tuple[int, int, float]]] = [[] for _ in self.ids]
+            for t in range(len(self.vocabulary)):
+                for at in range(self.starts[t], self.starts[t + 1]):
+                    own[self.items[at]].append((self.rarity[t], t, self.impacts[at]))
+            chosen, need = [], np.empty(len(own))
+            for item, some in enumerate(own):
+                mass = 0.0
+                for _, t, s in sorted(some):
+                    if mass >= 1 - threshold / 2:
+                        break
+                    chosen.append((t, item, s))
+                    mass += s
+                need[item] = threshold - 1 + mass - 1e-9
+            chosen.sort()
+            starts = np.searchsorted(np.array([t for t, *_ in chosen], np.int64), np.arange(len(self.vocabulary) + 1))
+            counts = np.append(np.diff(starts), [0, 0])  # none for the terms -2 and -1
+            self.rare[threshold] = starts, counts, np.array([i for _, i, _ in chosen], np.int64), np.array([s for *_, s in chosen]), need
+        return self.rare[threshold]
+
+    def possible(self, term: np.ndarray, count: int, threshold: float) -> list[int]:
+        """The passages that may hold an item's score from ``threshold`` up, of ``count`` passages of a text."""
+        starts, counts, items, impacts, need = self._rare(threshold)
+        at = np.flatnonzero(counts[term])
+        if not len(at):
             return []
-        busy = np.zeros(count, bool)
-        busy[np.flatnonzero(open_) // self.blocks] = True
-        some = busy[passage]
-        passage, term = passage[some], term[some]
-        own, at = _spread(self.starts, term)
-        cell = passage[own] * self.blocks + self.block_of[self.items[at]]
-        near = open_[cell]
-        key, inverse = np.unique(passage[own][near] * len(self.ids) + self.items[at][near], return_inverse=True)
-        score = np.bincount(inverse, self.impacts[at][near], len(key))
-        return [(int(k) // len(self.ids), int(k) % len(self.ids), float(s)) for k, s in zip(key, score, strict=True) if s >= threshold - 1e-9]
+        # a word lies in the passage that starts in its stride and in the one before
+        number = at // self.longest
+        pairs = np.concatenate([number * len(self.vocabulary), (number - 1) * len(self.vocabulary)]) + np.tile(term[at], 2)
+        pairs = np.unique(pairs[(pairs >= 0) & (pairs < count * len(self.vocabulary))])
+        passage, t = pairs // len(self.vocabulary), pairs % len(self.vocabulary)
+        n = counts[t]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[t], n)
+        self.read += len(place)
+        key, inverse = np.unique(np.repeat(passage, n) * len(self.ids) + items[place], return_inverse=True)
+        enough = np.bincount(inverse, impacts[place], len(key)) >= need[key % len(self.ids)]
+        return np.unique(key[enough] // len(self.ids)).tolist()
 
     def matches(self, text: str | None, threshold: float) -> Iterator[tuple[int, float, float, float]]:
         """(item, best score, question share, answer share) of the items that a passage of the text retrieves."""
-        words = terms(text)
+        words = byte_words(text)
         if not words or not self.ids:
             return
-        get = self.vocabulary.get
-        known = np.array([get(w, -1) for w in words], np.int64)
-        stride, size = self.longest, 2 * self.longest
-        count = max(1, -(-(len(words) - self.longest) // stride))
+        term = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        term = term[term > -2]
+        stride = self.longest
         best: dict[int, float] = {}
-        step = max(1, CELLS // self.blocks)
-        for low in range(0, count, step):
-            high = min(count, low + step)
-            parts = []
-            for shift in (0, 1):  # a word lies in the passage that starts in its stride and in the one before
-                place = np.arange(low * stride, min(len(known), (high + 1) * stride))
-                number = place // stride - shift
-                fits = (known[place] >= 0) & (number >= low) & (number < high)
-                parts.append((number[fits] - low) * len(self.vocabulary) + known[place[fits]])
-            pairs = np.unique(np.concatenate(parts))
-            for _, item, score in self.search(pairs // len(self.vocabulary), pairs % len(self.vocabulary), high - low, threshold):
+        for number in self.possible(term, max(1, -(-(len(term) - stride) // stride)), threshold):
+            passage = np.unique(term[number * stride : (number + 2) * stride])
+            passage = tuple(passage[passage >= 0].tolist())
+            if passage not in self.found:
+                if len(self.found) >= PASSAGES:
+                    self.found.clear()
+                self.found[passage] = self.search(passage, threshold)
+            for item, score in self.found[passage]:
                 best[item] = max(score, best.get(item, 0.0))
         if best:
-            there = shingles_in(words, {len(s) for item in best for part in self.parts[item] for s in part})
+            there = shingles_in(terms(text), {len(s) for item in best for part in self.parts[item] for s in part})
             for item, score in sorted(best.items()):
                 yield item, score, *(len(part & there) / len(part) for part in self.parts[item])
 
@@ -145,31 +258,26 @@ def shingles_in(words: list[str], sizes: set[int]) -> set[tuple[str, ...]]:
     return {tuple(words[k : k + n]) for n in sizes for k in range(len(words) - n + 1)}
 
 
-def _spread(starts: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each posting of each term: which entry of ``term`` it belongs to, and its place."""
-    n = starts[term + 1] - starts[term]
-    own = np.repeat(np.arange(len(term)), n)
-    return own, np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[term], n)
-
-
-def _parts(benchmark: DataFrame, item_id: str, item_text: str, max_words: int) -> Iterator[list[tuple]]:
-    """The items, in parts that one index may have."""
+def _indexes(benchmark: DataFrame, item_id: str, item_text: str, max_words: int) -> Iterator[Index]:
+    """Indexes of parts of the items, with the statistics of all."""
+    stats = Statistics.of(row[0] for row in benchmark.select(F.col(f"`{item_text}`")).toLocalIterator())
     part, words = [], 0
     for row in benchmark.select(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")).toLocalIterator():
         n = len((row[1] or "").split())
         if part and words + n > max_words:
-            yield part
+            yield Index(part, stats)
             part, words = [], 0
         part.append((row[0], row[1]))
         words += n
     if part:
-        yield part
+        yield Index(part, stats)
 
 
 def _found(sent, threshold: float, overlap: float, kind: str):
     @F.pandas_udf(f"array<struct<item_id:{kind},score:double,question_overlap:double,answer_overlap:double>>")
     def run(texts: pd.Series) -> pd.Series:
         index = sent.value
+        remembering("decontaminate", index.known, index.found)
         found = []
         for t in texts:
             some = [m for m in index.matches(t, threshold) if min(m[2], m[3]) >= overlap]
@@ -183,6 +291,7 @@ def _clean(sent, threshold: float, overlap: float):
     @F.pandas_udf("boolean")
     def run(texts: pd.Series) -> pd.Series:
         index = sent.value
+        remembering("decontaminate", index.known, index.found)
         return pd.Series([not any(min(m[2], m[3]) >= overlap for m in index.matches(t, threshold)) for t in texts], dtype=bool)
 
     return run
@@ -199,8 +308,8 @@ def matches(
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = benchmark.schema[item_id].dataType.simpleString()
     out = None
-    for part in _parts(benchmark, item_id, item_text, max_index_words):
-        sent = docs.sparkSession.sparkContext.broadcast(Index(part))
+    for index in _indexes(benchmark, item_id, item_text, max_index_words):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
         one = rows.select("doc_id", F.explode(_found(sent, threshold, overlap, kind)("text")).alias("m")).select("doc_id", "m.*")
         out = one if out is None else out.unionByName(one)
     if out is None:
@@ -212,7 +321,7 @@ def matches(
 def without_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, text: str = "text", item_text: str = "text", max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
     """The rows, with all their columns, in which no test item is found."""
     kept = docs
-    for part in _parts(benchmark, benchmark.columns[0], item_text, max_index_words):
-        sent = docs.sparkSession.sparkContext.broadcast(Index(part))
+    for index in _indexes(benchmark, benchmark.columns[0], item_text, max_index_words):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
         kept = kept.where(_clean(sent, threshold, overlap)(F.col(f"`{text}`")))
     return kept
