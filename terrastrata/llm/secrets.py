@@ -18,6 +18,7 @@ import math
 import random
 import re
 import uuid
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 
@@ -93,15 +94,18 @@ def describe(kind: str, value: str, before: str, after: str, path: str) -> list[
 
 def candidates(text: str | None, beside: int = 40) -> list[tuple[str, int, str, str, str]]:
     """(kind, start, value, text before, text after); later kinds don't repeat what an earlier one has found."""
-    text, taken, out = text or "", [], []
+    text, starts, ends, out = text or "", [], [], []
     for kind, pattern in PATTERNS:
         for m in pattern.finditer(text):
             a, b = m.span(1)
             if kind == "token" and not (any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1])):
                 continue
-            if not any(a < y and x < b for x, y in taken):
+            # what earlier kinds have found does not overlap: only the last that starts before the end can reach into this
+            k = bisect_left(starts, b)
+            if not k or ends[k - 1] <= a:
                 out.append((kind, a, m[1], text[max(0, a - beside) : a], text[b : b + beside]))
-        taken = [(s, s + len(v)) for _, s, v, *_ in out]
+        spans = sorted((s, s + len(v)) for _, s, v, *_ in out)
+        starts, ends = [s for s, _ in spans], [e for _, e in spans]
     return sorted(out, key=lambda c: c[1])
 
 
