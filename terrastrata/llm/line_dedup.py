@@ -1,9 +1,9 @@
 """Line dedup by site-relative frequency, in DataFrame functions alone.
 
-For each site, the number of its pages that contain a line is divided by the number of its pages; lines above
-``ratio`` are boilerplate and dropped from every page of the site. Lines are what newlines separate, compared whole and
-unchanged; a line without a word is never dropped. A page counts once for a line, however often the line stands in it.
-Lines on fewer than ``min_pages`` pages of the site are kept: on a tiny site a single page is a large share.
+Pages are grouped by site: the host of a url, or the whole name where it is no url. For each site, the number of its pages that contain a line is
+divided by the number of its pages; lines above ``ratio`` are boilerplate and dropped from every page of the site. Lines are what newlines separate,
+compared whole and unchanged; a line without a word is never dropped. A page counts once for a line, however often the line stands in it.
+Lines on fewer than ``min_pages`` pages of the site are kept: one page, or a page and its copy, is no boilerplate.
 
 A null text has no lines and stays null; rows without a site are pages of one site of their own. Repeated rows are
 pages of their own. A page whose lines are all dropped has an empty text.
@@ -25,7 +25,9 @@ BROADCAST_LINES = 100_000
 
 
 def _site(site: Column) -> Column:
-    return F.coalesce(F.concat(F.lit("="), site.cast("string")), F.lit(""))
+    name = site.cast("string")
+    host = F.lower(F.regexp_extract(name, r"(?s)^.*?://([^/?#]*)", 1))
+    return F.coalesce(F.concat(F.lit("="), F.when(F.contains(name, F.lit("://")), host).otherwise(name)), F.lit(""))
 
 
 def _key(line: Column) -> Column:
@@ -40,7 +42,7 @@ def _has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def boilerplate(docs: DataFrame, ratio: float, min_pages: int = 10, site: str = "source", text: str = "text") -> DataFrame:
+def boilerplate(docs: DataFrame, ratio: float, min_pages: int = 3, site: str = "source", text: str = "text") -> DataFrame:
     """site__ (the site's key) and key__ (MD5 of the line) of each boilerplate line, with pages and site_pages."""
     pages = docs.select(_site(F.col(f"`{site}`")).alias("site__"), F.col(f"`{text}`").alias("text__"))
     totals = pages.groupBy("site__").agg(F.count("*").alias("site_pages"))
@@ -51,7 +53,7 @@ def boilerplate(docs: DataFrame, ratio: float, min_pages: int = 10, site: str =
 
 
 def drop_boilerplate(
-    docs: DataFrame, ratio: float = 0.05, min_pages: int = 10, site: str = "source", text: str = "text", dropped: str | None = None
+    docs: DataFrame, ratio: float = 0.08, min_pages: int = 3, site: str = "source", text: str = "text", dropped: str | None = None
 ) -> DataFrame:
     """All rows and columns, with boilerplate lines taken out of ``text``; ``dropped``: name of a column for their number."""
     found = boilerplate(docs, ratio, min_pages, site, text)

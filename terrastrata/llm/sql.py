@@ -48,7 +48,9 @@ FROM u LEFT JOIN m USING (page_id)
 
 OP10 = r"""
 WITH p AS (
-  SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines,
+    CASE WHEN contains(source, '://') THEN lower(regexp_extract(source, '(?s)^.*?://([^/?#]*)', 1)) ELSE source END AS source
+  FROM documents
 ), t AS (
   SELECT source, count(*) AS n FROM p GROUP BY source
 ), l AS (
@@ -57,7 +59,7 @@ WITH p AS (
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY source, line
 ), b AS (
   SELECT l.source, list(l.line) AS gone FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source
-  WHERE k >= 10 AND k > 0.05 * n GROUP BY l.source
+  WHERE k >= 3 AND k > 0.08 * n GROUP BY l.source
 ), o AS (
   SELECT doc_id, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS kept
   FROM p LEFT JOIN b ON p.source IS NOT DISTINCT FROM b.source

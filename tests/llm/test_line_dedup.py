@@ -50,3 +50,19 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = line_dedup.drop_boilerplate(documents(spark, [(1, "a\nb")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_pages_are_grouped_by_host(spark):
+    urls = ["http://A.example/x", "https://a.example/y?q=http://b.example", "https://a.example", "http://b.example#a.example", "ftp://b.example/1", "http://b.example:80/"]
+    rows = [(k, f"shared\nown {k}" if k != 4 else "own 4", u) for k, u in enumerate(urls * 3)]
+    hosts = ["a.example"] * 3 + ["b.example"] * 2 + ["b.example:80"]
+    docs = documents(spark, rows)
+    got = sorted(((x["doc_id"], x["text"]) for x in line_dedup.drop_boilerplate(docs, 0.4, 3).collect()), key=str)
+    assert got == brute([(d, t, hosts[d % 6]) for d, t, _ in rows], 0.4, 3)
+    assert {d for d, t in got if "shared" not in t} == {d for d, *_ in rows}
+
+
+def test_small_hosts_lose_boilerplate_and_not_a_copy(spark):
+    rows = [(k, f"footer\npage {k}", "small") for k in range(10)] + [(10 + k, "copied\ntwice", "small") for k in range(2)]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.drop_boilerplate(documents(spark, rows)).collect()}
+    assert got == {k: f"page {k}" for k in range(10)} | {10: "copied\ntwice", 11: "copied\ntwice"}
