@@ -1,12 +1,14 @@
 """SimHash near-duplicates: fingerprints of word shingles, joined with themselves by traversing a binary trie.
 
-Fingerprints are first reduced to distinct ones. Two that differ in at most ``budget`` bits agree in one of budget + 1
-blocks of bits; so each fingerprint goes, turned so that the block comes first, to the trie under each of its blocks.
+Fingerprints are first reduced to distinct ones. Of budget + k blocks of bits two that differ in at most ``budget`` bits agree in k;
+so each fingerprint goes, its bits dealt so that these come first, to the trie under each choice of k of its blocks. k grows with the number of
+fingerprints, so that the mean trie stays small whatever the corpus: five tries of 12 bits for each fingerprint up to some 10^7 of them, 15 of 20 bits up to
+some 10^9, 35 of 27 bits up to some 10^11.
 In a trie pairs of nodes go down together; the differing bits add up, and a pair of nodes is dropped once they exceed
 the budget. What each trie finds leaves it as a spanning forest, never as all pairs of a group; the forests are then
 joined to components.
 
-A trie with more fingerprints than ``part_size`` and four times the mean (a hot group) is cut into parts, and each pair
+A trie with more fingerprints than ``part_size`` (a hot group) is cut into parts, and each pair
 of parts is a trie of its own, so that no link is lost and no task is large.
 
 Null and empty texts have fingerprint zero and are linked like any other. A null doc_id is never the smallest; a
@@ -16,6 +18,8 @@ component without any other doc_id has a null component_id. Repeated rows stay r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -31,6 +35,8 @@ from .text import byte_words
 SHINGLES_AT_ONCE = 1 << 16
 #: Pairs of nodes expanded at once, and rows of a partition joined at once.
 PAIRS_AT_ONCE, ROWS_AT_ONCE = 1 << 19, 1 << 17
+#: Fingerprints in one trie at most.
+PART_SIZE = 1 << 14
 #: Pairs of nodes with no more pairs of leaves than this are compared leaf by leaf.
 FEW = 32
 
@@ -149,20 +155,70 @@ def _leaves(values, forest, alo, ahi, blo, bhi, budget) -> None:
         forest.join(a[near], b[near])
 
 
-def _links(budget: int, widths: list[int]):
+@dataclass(frozen=True)
+class _Layout:
+    """Blocks of bits, from the highest on, as (shift, width), and the choices of blocks under which fingerprints go to tries."""
+
+    blocks: tuple[tuple[int, int], ...]
+    choices: tuple[tuple[int, ...], ...]
+
+    @staticmethod
+    def of(budget: int, agreeing: int) -> _Layout:
+        n = budget + agreeing
+        ends = [64 - (64 * k) // n for k in range(n + 1)]
+        return _Layout(tuple((ends[k + 1], ends[k] - ends[k + 1]) for k in range(n)), tuple(combinations(range(n), agreeing)))
+
+    @staticmethod
+    def for_count(count: int, budget: int, part_size: int) -> _Layout:
+        """As few agreeing blocks as keep the mean trie within a quarter of part_size."""
+        for agreeing in range(1, budget + 4):
+            layout = _Layout.of(budget, agreeing)
+            if count >> layout.depth <= part_size // 4:
+                break
+        return layout
+
+    @property
+    def depth(self) -> int:
+        """Bits that the fingerprints of any trie have in common."""
+        return min(sum(self.blocks[k][1] for k in some) for some in self.choices)
+
+    def keys(self, fp: Column) -> Column:
+        """Array of structs: the number of the choice, and the bits of its blocks as one long."""
+        out = []
+        for turn, some in enumerate(self.choices):
+            key = F.lit(0).cast("long")
+            for k in some:
+                shift, width = self.blocks[k]
+                key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(fp, shift).bitwiseAND((1 << width) - 1))
+            out.append(F.struct(F.lit(turn).alias("turn"), key.alias("block")))
+        return F.array(*out)
+
+    def dealt(self, fp: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """The fingerprints with the bits of their choice first; differing bits stay as many."""
+        out = np.zeros_like(fp)
+        for number, some in enumerate(self.choices):
+            mine = turn == number
+            if mine.any():
+                own, got = fp[mine], np.zeros(int(mine.sum()), np.uint64)
+                for k in (*some, *(k for k in range(len(self.blocks)) if k not in some)):
+                    shift, width = self.blocks[k]
+                    got = (got << np.uint64(width)) | ((own >> np.uint64(shift)) & np.uint64((1 << width) - 1))
+                out[mine] = got
+        return out
+
+
+def _links(budget: int, layout: _Layout):
     """For mapInPandas over partitions sorted by trie: the spanning forest of each trie as edges."""
 
     def joined(rows: pd.DataFrame) -> pd.DataFrame:
         fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
-        turn = rows["turn"].to_numpy(np.int64)
-        first = np.array([0, *np.cumsum(widths)[:-1]], np.uint64)[turn]
-        turned = np.where(first > 0, (fp << first) | (fp >> ((np.uint64(64) - first) & np.uint64(63))), fp)
+        dealt = layout.dealt(fp, rows["turn"].to_numpy(np.int64))
         keys = rows[["turn", "block", "i", "j"]].to_numpy(np.int64)
         group = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
-        order = np.lexsort((turned, group))
-        turned, fp, group = turned[order], fp[order], group[order]
+        order = np.lexsort((dealt, group))
+        dealt, fp, group = dealt[order], fp[order], group[order]
         bounds = np.concatenate([np.searchsorted(group, np.arange(group[-1] + 1)), [len(group)]])
-        roots = trie_join(turned, bounds, min(widths), budget)
+        roots = trie_join(dealt, bounds, layout.depth, budget)
         linked = np.flatnonzero(roots != np.arange(len(roots)))
         return pd.DataFrame({"a": fp[linked].view(np.int64), "b": fp[roots[linked]].view(np.int64)})
 
@@ -182,19 +238,12 @@ def _links(budget: int, widths: list[int]):
     return run
 
 
-def linked_fingerprints(distinct: DataFrame, budget: int = 4, part_size: int = 2048) -> DataFrame:
-    """Edges (a, b) that join the fingerprints (column fp, distinct) within ``budget`` bits, as forests of the tries."""
-    widths = [64 // (budget + 1) + (k < 64 % (budget + 1)) for k in range(budget + 1)]
-    shifts = [64 - sum(widths[: k + 1]) for k in range(budget + 1)]
-    block = [
-        F.struct(F.lit(k).alias("turn"), F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1).alias("block"))
-        for k, (w, s) in enumerate(zip(widths, shifts, strict=True))
-    ]
-    rows = distinct.select("fp", F.explode(F.array(*block)).alias("t")).select("fp", "t.*")
-    sizes = checkpointed(rows.groupBy("turn", "block").agg(F.count("*").alias("n")))
-    mean = sizes.agg(F.avg("n")).first()[0] or 0
-    hot = sizes.where(F.col("n") > max(part_size, 4 * mean))
-    hot = hot.select("turn", "block", F.ceil(F.col("n") / max(part_size, 4 * mean)).cast("int").alias("parts"))
+def linked_fingerprints(distinct: DataFrame, budget: int = 4, part_size: int = PART_SIZE) -> DataFrame:
+    """Edges (a, b) that join the fingerprints (column fp, distinct, stored) within ``budget`` bits, as forests of the tries."""
+    layout = _Layout.for_count(distinct.count(), budget, part_size)
+    rows = distinct.select("fp", F.explode(layout.keys(F.col("fp"))).alias("t")).select("fp", "t.*")
+    hot = rows.groupBy("turn", "block").agg(F.count("*").alias("n")).where(F.col("n") > part_size)
+    hot = checkpointed(hot.select("turn", "block", F.ceil(F.col("n") / part_size).cast("int").alias("parts")))
     rows = rows.join(hot, ["turn", "block"], "left")
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("part"))
@@ -203,7 +252,7 @@ def linked_fingerprints(distinct: DataFrame, budget: int = 4, part_size: int = 2
     rows = rows.withColumn("part", part).withColumn("pair", F.explode(F.when(F.col("parts") > 1, pairs).otherwise(alone)))
     rows = rows.select("fp", "turn", "block", "pair.i", "pair.j").repartition("turn", "block", "i", "j")
     rows = rows.sortWithinPartitions("turn", "block", "i", "j")
-    return rows.mapInPandas(_links(budget, widths), "a long, b long")
+    return rows.mapInPandas(_links(budget, layout), "a long, b long")
 
 
 def _components(prints: DataFrame, budget: int, part_size: int, by: str = "doc_id") -> DataFrame:
@@ -223,7 +272,7 @@ def _firsts(smallest: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, budget: int = 4, part_size: int = 2048
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, budget: int = 4, part_size: int = PART_SIZE
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links, for each row."""
     prints = checkpointed(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprint(F.col(f"`{text}`"), shingle, seed).alias("fp")))

@@ -135,3 +135,32 @@ def test_first_of_group_against_all_pairs_by_jaccard(spark, part_size):
     assert far > 100 and len(set(group)) > 10
     got = simhash.first_of_group(documents(spark, list(enumerate(texts))).repartition(5), part_size=part_size).select("doc_id").collect()
     assert sorted(r[0] for r in got) == sorted(set(group))
+
+
+@pytest.mark.parametrize("agreeing", [1, 2, 3])
+def test_layouts_of_more_blocks_lose_no_link(spark, monkeypatch, agreeing):
+    monkeypatch.setattr(simhash._Layout, "for_count", staticmethod(lambda count, budget, part_size: simhash._Layout.of(budget, agreeing)))
+    rows = [(k, t) for k, t in enumerate(near_copies(40, 400, 2, 5) + near_copies(30, 60, 4, 6))]
+    got = simhash.near_duplicates(documents(spark, rows), part_size=12).collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows)
+
+
+def test_tries_stay_small_whatever_the_corpus():
+    for count in (1, 10**6, 10**8, 10**10, 10**12):
+        layout = simhash._Layout.for_count(count, 4, simhash.PART_SIZE)
+        assert count >> layout.depth <= simhash.PART_SIZE // 4
+        assert sum(w for _, w in layout.blocks) == 64 and len(layout.choices) <= 126
+    r = np.random.default_rng(1)
+    fp = r.integers(0, 1 << 64, 500, dtype=np.uint64)
+    for agreeing in (1, 2, 3):
+        layout = simhash._Layout.of(4, agreeing)
+        turn = r.integers(0, len(layout.choices), 500)
+        dealt = layout.dealt(fp, turn)
+        assert (np.bitwise_count(dealt) == np.bitwise_count(fp)).all()
+        # any two within four bits of each other share a trie
+        for x in fp[:50].tolist():
+            y = x
+            for b in r.choice(64, 4, replace=False).tolist():
+                y ^= 1 << b
+            agree = [all((x ^ y) >> s & ((1 << w) - 1) == 0 for s, w in (layout.blocks[k] for k in some)) for some in layout.choices]
+            assert any(agree)
