@@ -83,16 +83,20 @@ def _smallest(half: np.ndarray, run: int) -> np.ndarray:
 
 
 def _halves(window: int):
-    """For each text, the chosen half windows without repeats."""
+    """For each text, the chosen half windows without repeats; copies of a text that a task has met already give none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         remembering("substring", _known)
+        met: set[int] = set()
         for rows in batches:
             tags, parts = [], []
-            for tag, text in zip(rows["tag"], rows["text"], strict=True):
+            for tag, text in zip(rows["tag"].tolist(), rows["text"], strict=True):
                 words = byte_words(text)
-                if len(words) < window:
+                if len(words) < window or tag in met:
                     continue
+                if len(met) >= MEMORY:
+                    met.clear()
+                met.add(tag)
                 got = np.unique(_smallest(_windows(_hashes(words), window // 2, 0), window - window // 2 + 1))
                 tags.append(np.full(len(got), tag, np.int64))
                 parts.append(got)
@@ -144,14 +148,16 @@ def _repeated(texts: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
         raise ValueError("a window has two words or more")
     halves = checkpointed(texts.select("tag", "text").mapInPandas(_halves(window), "tag long, half long"))
     met = halves.groupBy("half").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low <> high").select("half")
-    listed = checkpointed(halves.join(met, "half").groupBy("tag").agg(F.collect_set("half").alias("halves")))
-    listed = listed.join(firsts, "tag").select(F.col("tag").alias("t"), F.col("tag2").alias("t2"), "first", "halves")
+    # the keys of the smaller sides are computed anew, so that each join has an exchange of its own on either side, which adaptive
+    # execution can split at a window that very many texts share, or at a text with very many copies
+    met = met.select(F.col("half").bitwiseXOR(0).alias("met"))
+    listed = checkpointed(halves.join(met, F.col("half") == F.col("met")).groupBy("tag").agg(F.collect_set("half").alias("halves")))
+    listed = listed.join(firsts, "tag").select(F.col("tag").bitwiseXOR(0).alias("t"), F.col("tag2").bitwiseXOR(0).alias("t2"), "first", "halves")
     # first is the smallest doc of the text, so <= keeps the rows of that doc
     wide = texts.join(listed, (F.col("tag") == F.col("t")) & (F.col("tag2") == F.col("t2")) & (F.col("doc") <= F.col("first")))
     wide = wide.select("doc", "tag", "tag2", "text", "halves")
     found = wide.mapInPandas(_extended(window), "doc long, tag long, tag2 long, h1 long, h2 int")
     first = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    # a fresh exchange on this side too, so that adaptive execution can split the join at a window that very many texts share
     first = first.select(F.col("h1").bitwiseXOR(0).alias("k1"), F.col("h2").bitwiseXOR(0).alias("k2"), "first")
     return found.join(first, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).drop("k1", "k2")
 

@@ -57,3 +57,29 @@ def test_levels_double_until_nothing_is_left(spark):
     rows = [(1, " ".join(["a"] + shared)), (2, " ".join(["b"] + shared)), (3, "c d e")]
     found = substring.levels(documents(spark, rows), 10)
     assert {n: df.count() for n, df in found.items()} == {10: 72, 20: 52, 40: 12}
+
+
+def test_joins_can_be_split(spark):
+    """The joins of texts and of windows have an exchange of their own on either side, so that adaptive execution can split a hot key."""
+    import re
+
+    rows = [(k, " ".join(f"w{k % 7}x{j}" for j in range(60))) for k in range(40)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = substring.without_repeats(documents(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    joins = re.findall(r"SortMergeJoin \[(\w+)#\d+L?, \w+#\d+L?\], \[(t|k1)#\d+L?", plan)
+    assert set(joins) == {("h1", "k1"), ("tag", "t")}
+    for key in ("tag", "t", "h1", "k1"):
+        assert re.search(rf"Exchange hashpartitioning\({key}#", plan)
+
+
+def test_copies_in_one_task_are_judged_alike(spark):
+    text = " ".join(f"w{j}" for j in range(80))
+    rows = [(k, text) for k in range(30)] + [(100, "x " + text), (101, " ".join(f"v{j}" for j in range(70)))]
+    for parts in (1, 5):
+        got = {r["doc_id"]: r["n_removed"] for r in substring.without_repeats(documents(spark, rows).repartition(parts)).collect()}
+        assert got == {0: 0, 100: 80, 101: 0} | {k: 80 for k in range(1, 30)}
