@@ -64,3 +64,19 @@ def test_odd_rows(spark):
 def test_empty_tables(spark):
     assert run(no_documents(spark), spark, [1], 0, 32) == []
     assert len(run(odd_documents(spark), spark, [], 0, 32)) == len(TEXTS)
+
+
+def test_no_python_in_the_plan(spark):
+    ids = spark.createDataFrame([(1,)], "doc_id long")
+    for df in (quality_rules.quality_rules(documents(spark, [(1, "a b")]), ids), quality_rules.possible(documents(spark, [(1, "a b")]), ids, 1, "doc_id")):
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_filter_of_ids_loses_none_and_stops_most(spark):
+    ids = spark.range(0, 30_000, 3).select("id")
+    for most, allowed in ((1 << 18, 0.02), (40, 0.95), (1, 1.0)):
+        got = quality_rules.possible(spark.range(30_000), ids, 10_000, "id", most)
+        kept = {r[0] for r in got.collect()}
+        assert kept >= set(range(0, 30_000, 3)) and got.columns == ["id"]
+        assert len(kept) - 10_000 <= allowed * 20_000
