@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, quality_rules, secrets, simhash, substring, toxicity, url_filters, weak_quality
+from . import bpe, decontaminate, line_dedup, pipeline, quality_rules, secrets, simhash, substring, toxicity, url_filters, weak_quality
 
 #: The rules of the url query, each with its verdict.
 URL_RULES = [
@@ -76,8 +76,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     own = (
         op1_quality_rules,
         op2_toxicity,
@@ -90,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_substring_dedup,
         op10_line_dedup,
     )
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
