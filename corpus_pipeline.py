@@ -1,58 +1,5 @@
-"""From raw documents to tokens: five stages, each over all that its predecessor kept.
+"""From raw documents to tokens: the stages of ``terrastrata.llm.pipeline``."""
 
-Every stage but the last takes and returns the columns of ``documents``; run() writes nothing, the caller may write and
-read the stages' tables in between. No part of it can be put in SQL as a whole (a trained classifier decides first).
-"""
+from terrastrata.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from terrastrata.llm import bpe, decontaminate, line_dedup, simhash, weak_quality
-
-ORACLE_SQL = None
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label quality classifier keeps."""
-    return weak_quality.accepted(docs)
-
-
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that are boilerplate of their source; n_chars follows the text."""
-    out = line_dedup.drop_boilerplate(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, Jaccard similarity from 0.8 up): the one with the smallest doc_id."""
-    return simhash.first_of_group(docs, shingle=5, similarity=0.8)
-
-
-def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    return decontaminate.without_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document."""
-    import public_tokenizers
-
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-
-
-STAGES = [
-    ("quality classifier", quality_stage),
-    ("line dedup", line_stage),
-    ("simhash near-dedup", near_duplicate_stage),
-    ("benchmark decontamination", benchmark_stage),
-    ("byte-level bpe", token_stage),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
