@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from importlib.util import find_spec
 
 from pyspark.sql import SparkSession
 
@@ -29,13 +30,12 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries, seconds = plans.queries(), {}
-    try:
+    names = list(HEADLINE)
+    if find_spec("terrastrata.llm") is not None:
         from terrastrata.llm import queries as llm
-    except ImportError:
-        names = HEADLINE
-    else:
+
         queries |= llm.queries()
-        names = HEADLINE + [n for n in queries if n.startswith("op") or n == "pipeline"]
+        names += [n for n in queries if n.startswith("op") or n == "pipeline"]
     queries["breaks_single"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warms the JVM up
     for name in names:
         began = time.time()
