@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from . import shingle_sets
-from .components import connected_components
+from .components import Forest, connected_components
 from .text import byte_words
 
 #: Shingles hashed at once, so that a very long text needs no more memory.
@@ -74,35 +74,13 @@ def fingerprint(text: Column, shingle: int = 4, seed: int = 42) -> Column:
     return run(text)
 
 
-class _Forest:
-    """Disjoint sets of indexes; joins many pairs at once."""
-
-    def __init__(self, count: int):
-        self.parent = np.arange(count)
-
-    def roots(self, at: np.ndarray) -> np.ndarray:
-        found = self.parent[at]
-        while True:
-            above = self.parent[found]
-            if np.array_equal(above, found):
-                return found
-            found = above
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            a, b = self.roots(a), self.roots(b)
-            apart = a != b
-            a, b = a[apart], b[apart]
-            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
-
-
 def trie_join(values: np.ndarray, bounds: np.ndarray, depth: int, budget: int) -> np.ndarray:
     """Roots of a spanning forest over all pairs within ``budget`` bits of each other.
 
     values: unsigned 64-bit, ascending within each group; group k is values[bounds[k]:bounds[k+1]], and its values agree in
     the first ``depth`` bits. Returns the index of each value's root.
     """
-    forest, ones = _Forest(len(values)), {}
+    forest, ones = Forest(len(values)), {}
 
     def ones_before(d: int) -> np.ndarray:
         if d not in ones:

@@ -3,7 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from terrastrata.llm import simhash
+from terrastrata.llm import components, simhash
 from terrastrata.llm.components import connected_components
 
 from .cases import TEXTS, brute_words, documents, no_documents, odd_documents
@@ -164,3 +164,19 @@ def test_tries_stay_small_whatever_the_corpus():
                 y ^= 1 << b
             agree = [all((x ^ y) >> s & ((1 << w) - 1) == 0 for s, w in (layout.blocks[k] for k in some)) for some in layout.choices]
             assert any(agree)
+
+
+@pytest.mark.parametrize("small", [0, 30, 1 << 16])
+def test_components_of_random_graphs(spark, monkeypatch, small):
+    """By contraction to the end, by contraction and a last task, and by one task: the same sets of nodes."""
+    monkeypatch.setattr(components, "SMALL", small)
+    r = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in r.integers(-60, 60, (70, 2))] + [(5, 5), (500, 501), (501, 500), (1 << 62, -(1 << 62))]
+    group = {n: n for p in pairs for n in p if p[0] != p[1]}
+    for _ in group:
+        for a, b in pairs:
+            if a != b:
+                group[a] = group[b] = min(group[a], group[b])
+    got = connected_components(spark.createDataFrame([*pairs, (None, 3), (3, None)], "a long, b long")).collect()
+    sets = lambda items: sorted(sorted(n for n, g in items if g == root) for root in {g for _, g in items})
+    assert sets([(x["node"], x["root"]) for x in got]) == sets(list(group.items()))
