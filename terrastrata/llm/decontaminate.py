@@ -40,7 +40,7 @@ K1, B = 1.2, 0.75
 #: Words of all items in one index; some 100 bytes each.
 MAX_INDEX_WORDS = 2_000_000
 #: Postings in a block. Words and passages that a worker remembers before it starts afresh.
-BLOCK, MEMORY, PASSAGES = 4, 1 << 19, 1 << 12
+BLOCK, MEMORY, PASSAGES = 4, 1 << 17, 1 << 12
 _EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»„“”‘’…–—¿¡"
 _SPACES = " \t\n\v\f\r"
 

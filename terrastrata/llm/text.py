@@ -32,10 +32,28 @@ _memories: dict[str, tuple[dict, ...]] = {}
 def remembering(operator: str, *caches: dict) -> None:
     """Called by an operator in a Python worker before it uses its caches: empties those of all others.
 
-    A worker serves one stage after the other, and what they all remember would add up.
+    A worker serves one stage after the other, and what they all remember would add up. What is freed goes back to the system.
     """
+    first = operator not in _memories
     _memories[operator] = caches
+    emptied = False
     for other, kept in _memories.items():
         if other != operator:
+            emptied |= any(kept)
             for cache in kept:
                 cache.clear()
+    if emptied or first:
+        _release()
+
+
+def _release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

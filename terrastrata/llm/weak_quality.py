@@ -37,7 +37,7 @@ LABELLERS = ("shouting", "marks", "ends", "capitals", "clean", "short", "symbols
 #: The fault that each labeller looks for most: 0 loud, 1 marked up, 2 repetitive.
 KINDS = np.array((0, 0, 0, 0, 1, 1, 1, 1, 1, 2, 2, 2, 2))
 #: Words that a worker remembers before it starts afresh.
-MEMORY = 1 << 19
+MEMORY = 1 << 18
 _SYMBOL, _MARKS, _END = re.compile(r"[#*$%&|<>]"), re.compile(r"[!?]{2,}$"), re.compile(r"[.!?]$")
 _CLEAN, _TAIL = re.compile(r"[^\W\d_]+(?:['\u2019-][^\W\d_]+)*[.,;:!?]?"), re.compile(r"[^\w.,;:!?'\"()\[\]\u2019\u201d\u00bb\u3002\uff0c-]$")
 
@@ -47,28 +47,41 @@ def _shape(word: str) -> str:
     return "".join(k for k, _ in groupby(kinds))
 
 
+def _code(word: bytes) -> int:
+    """Tests of the labellers from bit 44 on, the bucket of the word's shape from bit 32 on, and the hash of the word in lower case."""
+    w = word.decode("utf-8", "surrogatepass")
+    low = w.lower()
+    tests = (
+        w.upper() == w and low != w and len(w) > 1,
+        bool(_MARKS.search(w)),
+        bool(_END.search(w)),
+        w[0].isupper(),
+        bool(_CLEAN.fullmatch(w)),
+        len(w) <= 3 and w.isalpha() and low == w,
+        bool(_SYMBOL.search(w)),
+        not any(map(str.isalpha, w)),
+        bool(_TAIL.search(w)),
+    )
+    flags = sum(t << k for k, t in enumerate(tests))
+    shape = zlib.crc32(b"\0" + _shape(w).encode("utf-8", "replace")) % FEATURES
+    return flags << 44 | shape << 32 | zlib.crc32(low.encode("utf-8", "replace"))
+
+
+#: The codes, without the word's own hash, of plain words of ASCII letters: of one letter and of more that start with a small or a capital letter, and what may follow.
+_PLAIN = {(len(w), w.istitle(), end): _code((w + end).encode()) >> 32 for w in ("a", "aa", "aaa", "aaaa", "Aa", "Aaa", "Aaaa") for end in ("", *".,;:!?")}
+
+
 class _Words(dict):
-    """For each word one int: tests of the labellers from bit 44 on, the bucket of its shape from bit 32 on, and the hash of the word in lower case."""
+    """The code of each word."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMORY:
             self.clear()
-        w = word.decode("utf-8", "surrogatepass")
-        low = w.lower()
-        tests = (
-            w.upper() == w and low != w and len(w) > 1,
-            bool(_MARKS.search(w)),
-            bool(_END.search(w)),
-            w[0].isupper(),
-            bool(_CLEAN.fullmatch(w)),
-            len(w) <= 3 and w.isalpha() and low == w,
-            bool(_SYMBOL.search(w)),
-            not any(map(str.isalpha, w)),
-            bool(_TAIL.search(w)),
-        )
-        flags = sum(t << k for k, t in enumerate(tests))
-        shape = zlib.crc32(b"\0" + _shape(w).encode("utf-8", "replace")) % FEATURES
-        got = self[word] = flags << 44 | shape << 32 | zlib.crc32(low.encode("utf-8", "replace"))
+        core, end = (word, "") if word[-1:].isalpha() else (word[:-1], chr(word[-1]))
+        code = None
+        if core.isalpha() and core[1:].islower() | (len(core) == 1 and core.islower()):  # bytes' letters are ASCII
+            code = _PLAIN.get((min(len(core), 4), core[:1].isupper(), end))
+        got = self[word] = _code(word) if code is None else code << 32 | zlib.crc32(word.lower())
         return got
 
 

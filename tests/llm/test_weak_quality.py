@@ -160,3 +160,11 @@ def test_scorer_is_fitted_on_whole_texts(spark):
     seen = x[:, (weak_quality._codes([b"zzgarble###"])[0] & 0xFFFFFFFF) % weak_quality.FEATURES]
     assert (seen > 0).all() and weight[(weak_quality._codes([b"zzgarble###"])[0] & 0xFFFFFFFF) % weak_quality.FEATURES] < -0.1
     assert (1 / (1 + np.exp(-(x @ weight + bias))) < 0.3).all()
+
+
+def test_codes_of_plain_words_are_those_of_all_tests():
+    r = random.Random(3)
+    letters = ["a", "bc", "Z", "Q", "é", "ß", "7", ".", ",", "!", "?", "#", "-", "'", "\u65e5", "xyzw"]
+    words = {"".join(r.choices(letters, k=r.randint(1, 4))).encode() for _ in range(20_000)}
+    table = weak_quality._Words()
+    assert len(words) > 5000 and all(table[w] == weak_quality._code(w) for w in words)
