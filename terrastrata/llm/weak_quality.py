@@ -67,7 +67,7 @@ def _code(word: bytes) -> int:
     return flags << 44 | shape << 32 | zlib.crc32(low.encode("utf-8", "replace"))
 
 
-#: The codes, without the word's own hash, of plain words of ASCII letters: of one letter and of more that start with a small or a capital letter, and what may follow.
+#: The codes, without the word's own hash, of plain words of Latin letters, by length, first letter and end.
 _PLAIN = {(len(w), w.istitle(), end): _code((w + end).encode()) >> 32 for w in ("a", "aa", "aaa", "aaaa", "Aa", "Aaa", "Aaaa") for end in ("", *".,;:!?")}
 
 
@@ -77,15 +77,18 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMORY:
             self.clear()
-        core, end = (word, "") if word[-1:].isalpha() else (word[:-1], chr(word[-1]))
+        w = word.decode("utf-8", "surrogatepass")
+        core, end = (w, "") if w[-1].isalpha() else (w[:-1], w[-1])
         code = None
-        if core.isalpha() and core[1:].islower() | (len(core) == 1 and core.islower()):  # bytes' letters are ASCII
-            code = _PLAIN.get((min(len(core), 4), core[:1].isupper(), end))
-        got = self[word] = _code(word) if code is None else code << 32 | zlib.crc32(word.lower())
+        if core.isalpha() and max(core) <= "\xff" and (core[1:] or core).islower() and (len(core) > 1 or core.islower()):
+            code = _PLAIN.get((min(len(core), 4), core[0].isupper(), end))
+        got = self[word] = _code(word) if code is None else code << 32 | zlib.crc32(w.lower().encode())
         return got
 
 
 _words = _Words()
+#: Which tests each of the numbers below 512 stands for.
+_BITS = (np.arange(1 << 9)[:, None] >> np.arange(9)) & 1
 _AGAIN = zlib.crc32(b"\1again") % FEATURES
 
 
@@ -97,18 +100,24 @@ def _own(codes: np.ndarray) -> np.ndarray:
     return codes & 0xFFFFFFFF
 
 
+def _ends(values: np.ndarray) -> np.ndarray:
+    """Where, in ascending order, one value ends and another begins."""
+    some = np.sort(values)
+    return np.flatnonzero(some[1:] != some[:-1])
+
+
 def votes(text: str | None) -> tuple[int, ...]:
     """One vote of each of LABELLERS: 1 good, 0 bad, -1 none. Each has a least number of words below which it does not vote."""
     codes = _codes(byte_words(text))
     n = len(codes)
     if n < 10:
         return (NONE,) * len(LABELLERS)
-    shouting, marks, ends, capitals, clean, short, symbols, bare, tails = (float(((codes >> (44 + k)) & 1).sum()) / n for k in range(9))
+    shouting, marks, ends, capitals, clean, short, symbols, bare, tails = (np.bincount(codes >> 44, minlength=1 << 9) @ _BITS / n).tolist()
     own = _own(codes)
     follows = float((own[1:] == own[:-1]).sum()) / n
-    _, counts = np.unique(own, return_counts=True)
-    distinct, top = len(counts) / n, counts.max() / n
-    pairs = len(np.unique(own[1:] << 31 ^ own[:-1])) / (n - 1)
+    runs = np.diff(np.concatenate([[-1], _ends(own), [n - 1]]))
+    distinct, top = len(runs) / n, int(runs.max()) / n
+    pairs = (len(_ends(own[1:] << 31 ^ own[:-1])) + 1) / (n - 1)
 
     def vote(least: int, good: bool, bad: bool) -> int:
         return NONE if n < least else BAD if bad else GOOD if good else NONE

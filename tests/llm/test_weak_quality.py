@@ -164,7 +164,7 @@ def test_scorer_is_fitted_on_whole_texts(spark):
 
 def test_codes_of_plain_words_are_those_of_all_tests():
     r = random.Random(3)
-    letters = ["a", "bc", "Z", "Q", "é", "ß", "7", ".", ",", "!", "?", "#", "-", "'", "\u65e5", "xyzw"]
+    letters = ["a", "bc", "Z", "Q", "é", "É", "ª", "ß", "µ", "ÿ", "ā", "7", ".", ",", "!", "?", "#", "-", "'", "\u65e5", "xyzw"]
     words = {"".join(r.choices(letters, k=r.randint(1, 4))).encode() for _ in range(20_000)}
     table = weak_quality._Words()
     assert len(words) > 5000 and all(table[w] == weak_quality._code(w) for w in words)
