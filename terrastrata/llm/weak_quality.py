@@ -71,6 +71,10 @@ def _code(word: bytes) -> int:
 _PLAIN = {(len(w), w.istitle(), end): _code((w + end).encode()) >> 32 for w in ("a", "aa", "aaa", "aaaa", "Aa", "Aaa", "Aaaa") for end in ("", *".,;:!?")}
 
 
+#: Small letters without capital ones.
+_ORDINAL = {"\u00aa", "\u00ba"}
+
+
 class _Words(dict):
     """The code of each word."""
 
@@ -80,7 +84,7 @@ class _Words(dict):
         w = word.decode("utf-8", "surrogatepass")
         core, end = (w, "") if w[-1].isalpha() else (w[:-1], w[-1])
         code = None
-        if core.isalpha() and max(core) <= "\xff" and (core[1:] or core).islower() and (len(core) > 1 or core.islower()):
+        if core.isalpha() and max(core) <= "\xff" and not _ORDINAL & set(core) and (core[1:] or core).islower() and (len(core) > 1 or core.islower()):
             code = _PLAIN.get((min(len(core), 4), core[0].isupper(), end))
         got = self[word] = _code(word) if code is None else code << 32 | zlib.crc32(w.lower().encode())
         return got
