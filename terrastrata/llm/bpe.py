@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .text import remembering
 
 #: Distinct pieces (some 250 bytes each) and pairs that a worker remembers before it starts afresh.
-MEMORY, PAIRS = 250_000, 400_000
+MEMORY, PAIRS = 400_000, 500_000
 #: Pieces handled at once; bounds memory for very long texts.
 CHUNK = 50_000
 #: Largest vocabulary file that is broadcast.
