@@ -21,10 +21,11 @@ def _bin(value: Column, low: float, step: float, bins: int) -> Column:
     return F.least(F.floor((value - F.lit(low)) / F.lit(step)), F.lit(bins - 1)).cast("int")
 
 
-def distribution(rast: Raster, band: int | str | None = None, samples: Vector | None = None, layer: str | None = None, bins: int = 50) -> DataFrame:
+def distribution(rast: Raster, band: int | str | None = None, samples: Vector | None = None, layer: str | None = None, bins: int = 50, plot: bool = True) -> DataFrame:
     """(source, bin, lo, hi, n): equal-width bins over the band's data, with the counts of all pixels and, if given, of the samples.
 
-    Samples on nodata, outside of the grid or below the population's minimum are left out. A band without data gives no rows.
+    Samples on nodata, outside of the grid or below the population's minimum are left out. A band without data gives no rows. plot is taken and
+    ignored: the rows are what would be drawn.
     """
     if bins < 1:
         raise ValueError("bins is 1 or more")
@@ -94,10 +95,11 @@ def components(rast: Raster, num_comp: int) -> Components:
     return Components(vectors, values[order], means, np.array([row[f"std_{k}"] for k in range(len(bands))]))
 
 
-def pca(rast: Raster, num_comp: int, filename: str = "", return_metadata: bool = False):
+def pca(rast: Raster, num_comp: int, filename: str = "", return_metadata: bool = False, driver_options: dict | None = None):
     """Bands comp_1 ... comp_k: the standardised bands projected on the components; null where any band is.
 
-    A band that does not vary has weight 0. Float unless a band is double. With return_metadata also the Components.
+    A band that does not vary has weight 0. Float unless a band is double. With return_metadata also the Components. driver_options
+    are taken and ignored.
     """
     rast.check_open()
     found = components(rast, num_comp)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +16,8 @@ from ..sources.vector import Vector
 
 #: Candidates that one task thins at most; larger pools are thinned in rounds by joins.
 KERNEL_LIMIT = 50_000
+#: Existing plots, and vertices of polygons over all cells, that are broadcast at most; larger tables are joined by a shuffle.
+BROADCAST_PLOTS, BROADCAST_VERTICES = 1_000_000, 1_000_000
 
 
 # ---------------------------------------------------------------------- access
@@ -138,7 +140,7 @@ def thinned(pool: DataFrame, mindist: float, kernel_limit: int = KERNEL_LIMIT, s
     if mindist <= 0:
         return pool
     if (pool.count() if size is None else size) <= kernel_limit:
-        return pool.coalesce(1).mapInPandas(_greedy(mindist, None), pool.schema)
+        return pool.repartition(1).mapInPandas(_greedy(mindist, None), pool.schema)
     pool = checkpointed(pool)
     edges = checkpointed(_conflicts(pool, mindist))
     open_, accepted = pool.select("pix"), []
@@ -177,15 +179,15 @@ def first_thinned(candidates: DataFrame, mindist: float, n: int, kernel_limit: i
 # ---------------------------------------------------------------------- focal windows
 
 
-def focal(strata: DataFrame, wrow: int = 3, wcol: int = 3, strat: str = "strat") -> DataFrame:
-    """row, col, strat and eligible: whether the window of wrow x wcol pixels about a data pixel is full of its stratum.
+def focal(strata: DataFrame, wrow: int = 3, wcol: int = 3, strat: str = "strat", others: Sequence[str] = ()) -> DataFrame:
+    """The data pixels with row, col, strat, the named other columns, and eligible: whether the window of wrow x wcol pixels about it is full of its stratum.
 
     Two passes of window functions: along rows, then along columns. Pixels at the edge and beside nodata never are.
     """
     for w in (wrow, wcol):
         if w not in (3, 5, 7):
             raise ValueError("wrow and wcol are 3, 5 or 7")
-    rows = strata.where(F.col(strat).isNotNull()).select("row", "col", F.col(strat).alias("strat"))
+    rows = strata.where(F.col(strat).isNotNull()).select("row", "col", F.col(strat).alias("strat"), *others)
     h, v = wcol // 2, wrow // 2
     along = Window.partitionBy("row").orderBy("col").rangeBetween(-h, h)
     rows = rows.withColumn("hok", (F.count("*").over(along) == wcol) & (F.min("strat").over(along) == F.max("strat").over(along)))
@@ -250,14 +252,11 @@ def quota_fill(pool: DataFrame, quotas: list[int], mindist: float, total: int, t
 
     if taken is not None:
         pool = pool.unionByName(taken.withColumn("stage", F.lit(-1)).select(*pool.columns))
-    return pool.coalesce(1).mapInPandas(run, kind)
+    return pool.repartition(1).mapInPandas(run, kind)
 
 
-def within_polygons(points: DataFrame, polygons: DataFrame, *columns: str, cell: float | None = None) -> DataFrame:
-    """Points (pix, x, y) paired with the polygons (fid, rings, ...) that hold them: pix, fid and the named columns.
-
-    cell: side of the square cells through which they meet; by default a hundredth of the polygons' whole extent.
-    """
+def _in_cells(polygons: DataFrame, cell: float | None, *columns: str) -> tuple[DataFrame, float]:
+    """The polygons (fid, rings, named columns) once for each square cell (cx, cy) that their boxes touch, and the side of the cells."""
     xs, ys = F.flatten(F.col("rings"))["x"], F.flatten(F.col("rings"))["y"]
     boxes = polygons.select("fid", "rings", *columns, F.array_min(xs).alias("x1"), F.array_max(xs).alias("x2"), F.array_min(ys).alias("y1"), F.array_max(ys).alias("y2"))
     if cell is None:
@@ -265,7 +264,30 @@ def within_polygons(points: DataFrame, polygons: DataFrame, *columns: str, cell:
         cell = max(got[0] or 0.0, got[1] or 0.0) / 100 or 1.0
     at = lambda v: F.floor(v / F.lit(cell)).cast("long")
     boxes = boxes.withColumn("cx", F.explode(F.sequence(at(F.col("x1")), at(F.col("x2")))))
-    boxes = boxes.withColumn("cy", F.explode(F.sequence(at(F.col("y1")), at(F.col("y2")))))
+    return boxes.withColumn("cy", F.explode(F.sequence(at(F.col("y1")), at(F.col("y2"))))), cell
+
+
+def with_polygon(points: DataFrame, polygons: DataFrame, column: str, cell: float | None = None) -> DataFrame:
+    """The points (pix, x, y and others) with ``column`` of the polygon (fid, rings, column) that holds them, of several that with the largest fid; else null.
+
+    Points meet polygons through square cells; cell: their side, by default a hundredth of the polygons' whole extent. While the polygons have few vertices, the lists of
+    those of each cell are broadcast, and points are not shuffled.
+    """
+    boxes, cell = _in_cells(polygons, cell, column)
+    vertices = boxes.agg(F.sum(F.size(F.flatten("rings")))).first()[0] or 0
+    at = lambda v: F.floor(v / F.lit(cell)).cast("long")
     rows = points.withColumns({"cx": at(F.col("x")), "cy": at(F.col("y"))})
-    inside: Column = geometry.in_polygon(F.col("x"), F.col("y"), F.col("rings"))
-    return rows.join(boxes, ["cx", "cy"]).where(inside).select("pix", "fid", *columns)
+    if vertices <= BROADCAST_VERTICES:
+        lists = boxes.groupBy("cx", "cy").agg(F.collect_list(F.struct("fid", "rings", column)).alias("polygons__"))
+        rows = rows.join(F.broadcast(lists), ["cx", "cy"], "left")
+        inside = F.filter("polygons__", lambda p: geometry.in_polygon(F.col("x"), F.col("y"), p["rings"]))
+        last = F.array_max(F.transform(inside, lambda p: F.struct(p["fid"].alias("fid"), p[column].alias("v"))))
+        return rows.select(*points.columns, last["v"].alias(column))
+    found = rows.select("pix", "x", "y", "cx", "cy").join(boxes, ["cx", "cy"]).where(geometry.in_polygon(F.col("x"), F.col("y"), F.col("rings")))
+    return points.join(found.groupBy("pix").agg(F.max_by(column, "fid").alias(column)), "pix", "left").select(*points.columns, column)
+
+
+def without_pixels(rows: DataFrame, plots: DataFrame) -> DataFrame:
+    """The rows whose pix is none of the plots'; a counted number of plots is broadcast, so that the raster is not shuffled."""
+    plots = plots.select("pix")
+    return rows.join(F.broadcast(plots) if plots.count() <= BROADCAST_PLOTS else plots, "pix", "left_anti")

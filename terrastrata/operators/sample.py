@@ -1,7 +1,8 @@
 """Sample networks: simple random, stratified, systematic and conditioned Latin hypercube.
 
 All are seeded: the same seed gives the same samples on any partitioning. Each returns a table of samples with row, col, x and y,
-``existing`` (0 or 1) if existing plots are given, and strata for stratified samples; ``filename`` also stores it as a vector.
+``existing`` (0 or 1) if existing plots are given, and strata for stratified samples; ``filename`` also stores it as a vector. ``plot`` is taken
+and ignored: nothing is drawn.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def _candidates(rast: Raster, rows: DataFrame, existing: DataFrame | None, acces
     if access is not None:
         rows = constraints.accessible(rows, rast.meta, access, layer_name, buff_inner, buff_outer, access_mode)
     if existing is not None:
-        rows = rows.join(existing.select("pix"), "pix", "left_anti")
+        rows = constraints.without_pixels(rows, existing)
     return rows
 
 
@@ -54,7 +55,7 @@ def _check_samples(num_samples: int, mindist: float | None) -> float:
 
 def srs(
     rast: Raster, num_samples: int, mindist: float = 0, existing: Vector | None = None, access: Vector | None = None, layer_name: str | None = None,
-    buff_inner: float | None = None, buff_outer: float | None = None, filename: str = "", seed: int = SEED, access_mode: str = "centre",
+    buff_inner: float | None = None, buff_outer: float | None = None, plot: bool = False, filename: str = "", seed: int = SEED, access_mode: str = "centre",
 ) -> DataFrame:
     """Simple random samples among the pixels with data in the first band, accessible and without an existing plot.
 
@@ -89,7 +90,7 @@ def strat(
     strat_rast: Raster, num_samples: int, num_strata: int | None = None, wrow: int = 3, wcol: int = 3, band: int | str | None = None, allocation: str = "prop",
     weights: Sequence[float] | None = None, mrast: Raster | None = None, mrast_band: int | str | None = None, method: str = "Queinnec", mindist: float | None = None,
     existing: Vector | None = None, force: bool = False, access: Vector | None = None, layer_name: str | None = None, buff_inner: float | None = None,
-    buff_outer: float | None = None, filename: str = "", seed: int = SEED, access_mode: str = "centre",
+    buff_outer: float | None = None, plot: bool = False, filename: str = "", seed: int = SEED, access_mode: str = "centre",
 ) -> DataFrame:
     """Stratified samples; quotas by ``allocation`` over all data pixels (whether or not accessible).
 
@@ -145,11 +146,13 @@ def strat(
         plots = checkpointed(plots)
         have = [n for n, _ in strata_counts(plots, num_strata)]
         left = [max(0, q - h) for q, h in zip(quotas, have, strict=True)]
-    candidates = _candidates(strat_rast, rows, None if existing is None else constraints.existing_pixels(strat_rast, existing), access, layer_name, buff_inner, buff_outer, access_mode)
-    candidates = candidates.withColumn("stage", F.lit(1))
+    stage = F.lit(1)
     if method == "Queinnec":
-        middle = constraints.focal(rows, wrow, wcol).where("eligible").select("row", "col")
-        candidates = candidates.drop("stage").join(middle.withColumn("in__", F.lit(True)), ["row", "col"], "left").withColumn("stage", F.when(F.col("in__"), 0).otherwise(1)).drop("in__")
+        # the windows are those of all data pixels, accessible or not; what candidates need goes through them along
+        rows = constraints.focal(rows, wrow, wcol, others=("pix", "x", "y", "priority"))
+        stage = F.when(F.col("eligible"), 0).otherwise(1)
+    rows = rows.withColumn("stage", stage)
+    candidates = _candidates(strat_rast, rows, None if existing is None else constraints.existing_pixels(strat_rast, existing), access, layer_name, buff_inner, buff_outer, access_mode)
     picked = ["row", "col", "pix", "x", "y", "strat", "priority", "stage"]
     if mindist:
         out = _spaced(candidates.select(picked), left, mindist, sum(left), None if plots is None or force else plots)
@@ -220,7 +223,7 @@ def _in_hexagon(x: Column, y: Column, edge: float) -> Column:
 
 def systematic(
     rast: Raster, cellsize: float, shape: str = "square", location: str = "centers", existing: Vector | None = None, access: Vector | None = None,
-    layer_name: str | None = None, buff_inner: float | None = None, buff_outer: float | None = None, force: bool = False, filename: str = "",
+    layer_name: str | None = None, buff_inner: float | None = None, buff_outer: float | None = None, force: bool = False, plot: bool = False, filename: str = "",
     seed: int = SEED, rotation: float | None = None, tries: int = 10,
 ) -> DataFrame:
     """Samples on a lattice turned by ``rotation`` degrees, random by default: cell centers, two corners of each cell, or random
@@ -267,7 +270,7 @@ def systematic(
         points = constraints.accessible(points, m, access, layer_name, buff_inner, buff_outer)
     plots = None if existing is None else constraints.existing_pixels(rast, existing)
     if plots is not None:
-        points = points.join(plots.select("pix"), "pix", "left_anti")
+        points = constraints.without_pixels(points, plots)
     if force:
         points = points.join(rast.pixels(*m.bands).dropna(subset=list(m.bands)).select("pix"), "pix", "left_semi")
     if location == "random":
@@ -283,8 +286,8 @@ def systematic(
 
 def clhs(
     rast: Raster, num_samples: int, iterations: int = 10_000, access: Vector | None = None, layer_name: str | None = None, buff_inner: float | None = None,
-    buff_outer: float | None = None, existing: Vector | None = None, replace: int | None = None, filename: str = "", seed: int = SEED,
-    pool_size: int = 100_000, eps: float = 0.001, exact: bool | None = None, access_mode: str = "centre",
+    buff_outer: float | None = None, existing: Vector | None = None, replace: int | None = None, plot: bool = False, filename: str = "", seed: int = SEED,
+    pool_size: int = 100_000, eps: float = 0.001, exact: bool = True, access_mode: str = "centre",
 ) -> DataFrame:
     """Samples that have each of the num_samples quantile bins of every band once, and the bands' correlations.
 
@@ -329,12 +332,12 @@ def clhs(
             raise ValueError(f"there are {len(bins)} pixels to choose {n} samples from")
         yield table.iloc[kernels.anneal(bins, values, fixed, n, target, iterations, seed)]
 
-    out = pool.coalesce(1).mapInPandas(run, pool.schema)
+    out = pool.repartition(1).mapInPandas(run, pool.schema)
     out = out.select("row", "col", "x", "y", *([] if plots is None else [F.col("old").alias("existing")]))
     return _done(out, rast, filename)
 
 
-def clhs_bins(rast: Raster, samples: DataFrame, num_samples: int, eps: float = 0.001, exact: bool | None = None) -> DataFrame:
+def clhs_bins(rast: Raster, samples: DataFrame, num_samples: int, eps: float = 0.001, exact: bool = True) -> DataFrame:
     """(feature, bin, n): how many samples (row, col) lie in each of the population's quantile bins; empty bins are left out."""
     bands = list(rast.meta.bands)
     whole = Raster(rast.df.dropna(how="any", subset=bands), rast.meta)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.raster import GridMeta, Raster, StratMeta, quoted, same_crs, strata_column
 from ..sources.vector import Vector, field_column
-from .constraints import placed, within_polygons
+from .constraints import placed, with_polygon
 
 MAX_STRATA = 2**31 - 1
-#: Pixels up to which quantiles are exact unless asked for otherwise.
-EXACT_LIMIT = 1 << 28
+#: Rank error, as one over it, of the sketches that bracket exact quantiles, and how many values between brackets are brought to the driver at most.
+SKETCH, BROUGHT = 10_000, 1_000_000
 
 
 def binned(value: Column, cuts: Sequence[float]) -> Column:
@@ -74,8 +76,14 @@ def _by_band(raster: Raster, given) -> dict[str, object]:
     return {b: named[b] for b in raster.meta.bands if b in named}
 
 
-def breaks(rast: Raster, breaks: list | Mapping, map: bool = False, filename: str = "") -> Raster:  # noqa: A002
-    """Bands strat_<band>: the number of breaks below the value; with ``map`` also strat_map, which combines them."""
+def breaks(
+    rast: Raster, breaks: list | Mapping, map: bool = False, filename: str = "", thread_count: int = 8, driver_options: Mapping | None = None,  # noqa: A002
+    plot: bool = False, histogram_bins: int | None = None,
+) -> Raster:
+    """Bands strat_<band>: the number of breaks below the value; with ``map`` also strat_map, which combines them.
+
+    thread_count, driver_options, plot and histogram_bins are taken and ignored: Spark deals out the work, and nothing is drawn.
+    """
     strata = {}
     for band, cuts in _by_band(rast, breaks).items():
         cuts = sorted(float(c) for c in cuts)
@@ -98,31 +106,131 @@ def probabilities(given: int | Sequence[float]) -> list[float]:
     return sorted({p for p in values if 0 < p < 1})
 
 
-def cutpoints(rast: Raster, quantiles: Mapping[str, list[float]], eps: float = 0.001, exact: bool | None = None, digits: int = 6) -> dict[str, list[float]]:
-    """The quantiles of each band over its data pixels, in one job.
+def _slot(value: Column, edges: list[float], low: int = 0, high: int | None = None) -> Column:
+    """2 i + 1 for edge i itself, 2 i for what lies between the edges before it and it; by bisection."""
+    high = len(edges) if high is None else high
+    if low == high:
+        return F.lit(2 * low)
+    mid = (low + high) // 2
+    at = F.lit(float(edges[mid]))
+    return F.when(value < at, _slot(value, edges, low, mid)).when(value == at, F.lit(2 * mid + 1)).otherwise(_slot(value, edges, mid + 1, high))
+
+
+def _slots(df: DataFrame, edges: Mapping[str, list[float]], whole: Mapping[str, set[int]]) -> DataFrame:
+    """(k, slot, v, n): how many values of band k are in each slot, apart for each value v in the slots of ``whole``."""
+    parts = []
+    for k, (band, some) in enumerate(edges.items()):
+        value = quoted(band).cast("double")
+        slot = _slot(value, some)
+        parts.append(F.when(value.isNotNull(), F.struct(F.lit(k).alias("k"), slot.alias("slot"), F.when(slot.isin(*whole[band]), value).alias("v"))))
+    rows = df.select(F.explode(F.array_compact(F.array(*parts))).alias("s"))
+    return rows.groupBy("s.k", "s.slot", "s.v").agg(F.count("*").alias("n"))
+
+
+def _exact(df: DataFrame, wanted: Mapping[str, list[float]]) -> dict[str, list[float]]:
+    """Quantiles by linear interpolation between order statistics, in bounded memory whatever the number of pixels.
+
+    A scan counts the values, and one for a sketch brackets each order statistic by two values a few ranks apart. One more counts the values below and between them, and brings
+    those between, which are a few for each million pixels; where they would be too many, the brackets are narrowed by further
+    sketches of what lies between them.
+    """
+    value = {b: quoted(b).cast("double") for b in wanted}
+    counts = dict(zip(wanted, df.agg(*[F.count(c) for c in value.values()]).first(), strict=True))
+    wanted = {b: ps for b, ps in wanted.items() if counts[b]}
+    if not wanted:
+        return {b: [] for b in counts}
+
+    def sketched(some: Mapping[str, list[float]]) -> list[Column]:
+        """Values on either side of each quantile, by more than the sketch's error and by more than two ranks."""
+        return [F.percentile_approx(value[b], F.array(*[F.lit(min(1.0, max(0.0, p + d * max(2 / SKETCH, 3 / counts[b])))) for p in ps for d in (-1, 1)]), SKETCH) for b, ps in some.items()]
+
+    brackets = {b: list(zip(q[::2], q[1::2], strict=True)) for b, q in zip(wanted, df.agg(*sketched(wanted)).first(), strict=True)}
+    between = sum(counts[b] * len(ps) for b, ps in wanted.items()) * 6 / SKETCH
+    while between > BROUGHT:
+        edges, inner = _edges(brackets)
+        table = _table(_slots(df, edges, {b: set() for b in edges}).collect(), edges)
+        aggs, steps = [], {}
+        for b, ps in wanted.items():
+            for j, (p, (low, high)) in enumerate(zip(ps, brackets[b], strict=True)):
+                below = sum(n for v, _, n in table[b] if v <= low)
+                inside = sum(n for v, _, n in table[b] if low < v < high)
+                first, last = int(p * (counts[b] - 1)) - below, -int(-p * (counts[b] - 1) // 1) - below
+                if inside and last >= 0 and first < inside:
+                    margin = max(2 / SKETCH, 3 / inside)
+                    ends = F.array(F.lit(max(0.0, first / inside - margin)), F.lit(min(1.0, (last + 1) / inside + margin)))
+                    aggs.append(F.percentile_approx(F.when((value[b] > F.lit(low)) & (value[b] < F.lit(high)), value[b]), ends, SKETCH).alias(f"x{len(aggs)}"))
+                    steps[b, j] = first, last, inside
+        if not aggs:
+            break
+        got = df.agg(*aggs).first()
+        for new, (b, j) in zip(got, steps, strict=True):
+            first, last, inside = steps[b, j]
+            low, high = brackets[b][j]
+            brackets[b][j] = (new[0] if first >= 0 else low, new[1] if last < inside else high)
+        between *= 6 / SKETCH
+    edges, inner = _edges(brackets)
+    table = _table(_slots(df, edges, inner).toArrow().to_pylist(), edges)
+    out = {b: [] for b in counts}
+    for b, ps in wanted.items():
+        values, ends = [], []
+        for v, _, n in table[b]:
+            values.append(v)
+            ends.append(n + (ends[-1] if ends else 0))
+        at = lambda rank, values=values, ends=ends: values[bisect_right(ends, rank)]
+        for p in ps:
+            place = p * (counts[b] - 1)
+            first = int(place)
+            low, high = at(first), at(min(first + 1, counts[b] - 1))
+            out[b].append(low if low == high else low + (place - first) * (high - low))
+    return out
+
+
+def _edges(brackets: Mapping[str, list[tuple[float, float]]]) -> tuple[dict[str, list[float]], dict[str, set[int]]]:
+    """The distinct ends of a band's brackets in order, and the slots between them that lie in a bracket."""
+    edges = {b: sorted({v for pair in some for v in pair}) for b, some in brackets.items()}
+    inner = {b: {2 * k + 2 for low, high in brackets[b] for k, v in enumerate(some[:-1]) if low <= v < high} for b, some in edges.items()}
+    return edges, inner
+
+
+def _table(rows: list, edges: Mapping[str, list[float]]) -> dict[str, list[tuple[float, int, int]]]:
+    """(value, slot, count) of each band in order; what is between edges without its own values stands just below the next edge."""
+    out: dict[str, list] = {b: [] for b in edges}
+    names = list(edges)
+    for r in rows:
+        some = edges[names[r["k"]]]
+        slot, value = r["slot"], r["v"]
+        if value is None:
+            value = some[slot // 2] if slot % 2 else (math.nextafter(some[slot // 2], -math.inf) if slot // 2 < len(some) else math.inf)
+        out[names[r["k"]]].append((value, slot, r["n"]))
+    return {b: sorted(v, key=lambda x: (x[1], x[0])) for b, v in out.items()}
+
 
-    exact: linear interpolation between order statistics; otherwise ranks are off by ``eps`` of the pixels at most, in bounded memory. By
-    default exact up to EXACT_LIMIT pixels.
+def cutpoints(rast: Raster, quantiles: Mapping[str, list[float]], eps: float = 0.001, exact: bool = True, digits: int = 6) -> dict[str, list[float]]:
+    """The quantiles of each band over its data pixels, rounded; a band without data has none.
+
+    exact: linear interpolation between order statistics, in a few scans and bounded memory at any size; otherwise, in one scan, ranks are off by ``eps`` of
+    the pixels at most.
     """
     wanted = {b: p for b, p in quantiles.items() if p}
-    out = {b: [] for b in quantiles}
+    out: dict[str, list[float]] = {b: [] for b in quantiles}
     if not wanted:
         return out
-    if exact is None:
-        exact = rast.meta.width * rast.meta.height <= EXACT_LIMIT
-    aggs = []
-    for k, (band, ps) in enumerate(wanted.items()):
-        at = F.array(*[F.lit(p) for p in ps])
-        c = quoted(band).cast("double")
-        aggs.append((F.percentile(c, at) if exact else F.percentile_approx(c, at, round(1 / eps))).alias(f"q{k}"))
-    row = rast.df.agg(*aggs).first()
-    for k, band in enumerate(wanted):
-        out[band] = [round(float(v), digits) for v in row[k] or []]
-    return out
+    if exact:
+        got = _exact(rast.df, wanted)
+    else:
+        aggs = [F.percentile_approx(quoted(b).cast("double"), F.array(*[F.lit(q) for q in ps]), round(1 / eps)) for b, ps in wanted.items()]
+        got = dict(zip(wanted, rast.df.agg(*aggs).first(), strict=True))
+    return out | {b: [round(float(v), digits) for v in some or []] for b, some in got.items()}
 
 
-def quantiles(rast: Raster, quantiles: int | list | Mapping, map: bool = False, filename: str = "", eps: float = 0.001, exact: bool | None = None) -> Raster:  # noqa: A002
-    """Like breaks(), with the bands' own quantiles as breaks."""
+def quantiles(
+    rast: Raster, quantiles: int | list | Mapping, map: bool = False, filename: str = "", thread_count: int = 8, driver_options: Mapping | None = None,  # noqa: A002
+    eps: float = 0.001, plot: bool | None = None, histogram_bins: int | None = None, info: bool | None = None, exact: bool = True,
+) -> Raster:
+    """Like breaks(), with the bands' own quantiles as breaks; eps is the rank error where they are not ``exact``.
+
+    thread_count, driver_options, plot, histogram_bins and info are taken and ignored.
+    """
     if isinstance(quantiles, int):
         given = {rast.band_name(None): quantiles}
     elif isinstance(quantiles, (list, tuple)) and len(rast.meta.bands) > 1:
@@ -136,11 +244,11 @@ def quantiles(rast: Raster, quantiles: int | list | Mapping, map: bool = False,
     return breaks(rast, cuts, map, filename)
 
 
-def map(*args, filename: str = "") -> Raster:  # noqa: A001
+def map(*args, filename: str = "", thread_count: int = 8, driver_options: Mapping | None = None) -> Raster:  # noqa: A001
     """strat_map over all bands of the arguments, in their order: rasters, (raster, bands) or (raster, bands, numbers of strata).
 
     A number of strata is taken from a strat raster's own metadata, and must be given for other rasters. A value outside
-    of its range is an error.
+    of its range is an error. thread_count and driver_options are taken and ignored.
     """
     if not args:
         raise ValueError("no raster is given")
@@ -184,10 +292,10 @@ def map(*args, filename: str = "") -> Raster:  # noqa: A001
     return out.write(filename) if filename else out
 
 
-def poly(rast: Raster, vect: Vector, layer_name: str, attribute: str, features: list, filename: str = "", cell: float | None = None) -> Raster:
+def poly(rast: Raster, vect: Vector, layer_name: str, attribute: str, features: list, filename: str = "", driver_options: Mapping | None = None, cell: float | None = None) -> Raster:
     """Band strat_<layer>: number i where the pixel's centre lies in a polygon whose attribute is features[i] or in that list.
 
-    Of several polygons the one with the largest fid counts; pixels in none are null.
+    Of several polygons the one with the largest fid counts; pixels in none are null. driver_options are taken and ignored.
     """
     rast.check_open()
     if not same_crs(rast.meta.crs, vect.crs):
@@ -203,10 +311,8 @@ def poly(rast: Raster, vect: Vector, layer_name: str, attribute: str, features:
         value = F.when(F.col(f"`{attribute}`").isin(*members), F.lit(k)).otherwise(value)
         names.insert(0, ", ".join(str(m) for m in members))
     polygons = vect.polygons(layer_name).withColumn("strata__", value).where(F.col("strata__").isNotNull()).select("fid", "rings", "strata__")
-    pixels = placed(rast)
-    found = within_polygons(pixels.select("pix", "x", "y"), polygons, "strata__", cell=cell).groupBy("pix").agg(F.max_by("strata__", "fid").alias("s"))
     band = f"strat_{layer_name}"
-    df = pixels.select("row", "col", "pix").join(found, "pix", "left").select("row", "col", F.col("s").cast("int").alias(band))
+    df = with_polygon(placed(rast), polygons, "strata__", cell).select("row", "col", F.col("strata__").cast("int").alias(band))
     meta = GridMeta(rast.meta.width, rast.meta.height, rast.meta.geotransform, (band,), rast.meta.crs, (-1.0,))
     out = Raster(df, meta, {band: StratMeta(len(features), tuple(names))})
     return out.write(filename) if filename else out

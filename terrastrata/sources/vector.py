@@ -51,7 +51,7 @@ class Vector:
         if path.endswith("l"):
             rows = rows.withColumn("n", F.monotonically_increasing_id())
         rows = rows.select(F.col("n").cast("long").alias("fid"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("geometry"), F.col("f.properties").alias("p"))
-        names = [r[0] for r in rows.select(F.explode(F.map_keys("p"))).distinct().orderBy(F.col("col")).limit(1000).collect()]
+        names = [r[0] for r in rows.select(F.explode(F.map_keys("p"))).distinct().orderBy(F.col("col")).collect()]
         rows = rows.select("fid", "kind", "geometry", *[F.col("p")[n].alias(field_column(n)) for n in names])
         return cls({name: rows}, crs, "GeoJSON", {name: [field_column(n) for n in names]})
 
@@ -85,7 +85,7 @@ class Vector:
     def samples(cls, df: DataFrame, crs: str = "") -> Vector:
         """A sample network: a table with x and y as the layer ``samples``."""
         fields = [c for c in df.columns if c not in ("x", "y")]
-        fid = F.xxhash64("x", "y")
+        fid = F.monotonically_increasing_id()  # points may repeat
         geometry = F.to_json(F.array("x", "y"))
         return cls({"samples": df.select(fid.alias("fid"), F.lit("Point").alias("kind"), geometry.alias("geometry"), *fields)}, crs, "MEM", {"samples": fields})
 
@@ -191,6 +191,24 @@ class Vector:
         return rows.withColumn("kind", checked), [f"`{n}`" for n in self.fields.get(name, [])]
 
 
+class Samples(Vector):
+    """A sample network as a vector with the layer ``samples``; its table ``df``, and so all of a DataFrame's methods, is at hand too."""
+
+    def __init__(self, df: DataFrame, crs: str = ""):
+        own = Vector.samples(df, crs)
+        super().__init__(own.layers, own.crs, own.driver, own.fields)
+        self.df = df
+
+    def __getattr__(self, name: str):
+        if name.startswith("__") or name == "df":
+            raise AttributeError(name)
+        return getattr(self.df, name)
+
+    def samples_as_wkt(self) -> list[str]:
+        """A WKT point for each sample, on the driver."""
+        return [r[0] for r in super().samples_as_wkt().toLocalIterator()]
+
+
 def _xy(c: Column) -> Column:
     return F.struct(c[0].alias("x"), c[1].alias("y"))
 

@@ -173,3 +173,67 @@ def test_shapefiles(spark, tmp_path):
     got = shapefile.shapes(data)
     assert got[0] == ("MultiPolygon", [[outer, hole], [other]]) and got[1] == ("LineString", [[0, 0], [1, 1]])
     assert got[2] == ("MultiLineString", [[[0, 0], [1, 1]], [[5, 5], [6, 6]]]) and got[3] is None
+
+
+def test_samples_are_vectors_too(spark):
+    a = np.arange(400, dtype=float).reshape(20, 20)
+    raster = ts.SpatialRaster.from_numpy(spark, a, (0.0, 10.0, 0.0, 200.0, 0.0, -10.0), ["z"], "EPSG:1")
+    corners = ts.systematic(raster, 50, "square", "corners", rotation=0)
+    texts = corners.samples_as_wkt()
+    assert len(texts) == corners.count() and all(t.startswith("POINT (") for t in texts)
+    info = corners.info().first()
+    assert info["feature_count"] == len(texts) > len(set(texts)) and info["layer"] == "samples" and corners.crs == "EPSG:1"
+    some = ts.srs(raster, 20)
+    assert isinstance(some, ts.SpatialVector) and {"row", "col", "x", "y"} <= set(some.columns)
+    again = ts.srs(raster, 60, existing=some)
+    assert again.where("existing = 1").count() == 20 and again.count() == 60
+    for sampler in (lambda **k: ts.clhs(raster, 5, iterations=10, **k), lambda **k: ts.srs(raster, 5, **k), lambda **k: ts.systematic(raster, 50, **k)):
+        assert sampler(plot=False).points().count() > 0
+
+
+def test_adapters_through_stand_ins(spark, monkeypatch):
+    """geopandas is not installed here: objects with the same methods."""
+    import json
+    import sys
+    import types
+
+    class Crs:
+        def to_wkt(self):
+            return "EPSG:1"
+
+    class Frame:
+        crs = Crs()
+
+        def __init__(self, features):
+            self.features = features
+
+        def to_json(self):
+            return json.dumps({"features": self.features})
+
+    features = [{"geometry": {"type": "Point", "coordinates": [k, 2 * k]}, "properties": {"a": k, "fid": "x"}} for k in range(3)]
+    vector = ts.SpatialVector.from_geopandas(spark, Frame(features))
+    assert vector.points().count() == 3 and vector.crs == "EPSG:1" and "fid_field" in vector.points().columns
+    fake = types.ModuleType("geopandas")
+    fake.GeoDataFrame = type("GeoDataFrame", (), {"from_features": staticmethod(lambda some, crs=None: (some, crs))})
+    monkeypatch.setitem(sys.modules, "geopandas", fake)
+    got, crs = vector.to_geopandas()
+    assert crs == "EPSG:1" and [f["geometry"]["coordinates"] for f in got] == [[k, 2 * k] for k in range(3)]
+
+
+def test_all_fields_of_a_vector_are_read(spark, tmp_path):
+    import json
+
+    feature = {"type": "Feature", "properties": {f"f{k:04d}": k for k in range(1500)}, "geometry": {"type": "Point", "coordinates": [1, 2]}}
+    (tmp_path / "many.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature]}))
+    vector = ts.SpatialVector.read(spark, f"{tmp_path}/many.geojson")
+    assert vector.info().first()["field_count"] == 1500 and len(vector.points().columns) == 1503
+
+
+def test_no_raster_goes_through_one_task(spark):
+    from terrastrata.operators import sample
+
+    a = np.arange(900, dtype=float).reshape(30, 30)
+    raster = ts.SpatialRaster.from_numpy(spark, np.stack([a, a % 7]), (0.0, 10.0, 0.0, 300.0, 0.0, -10.0), ["z", "w"], "EPSG:1")
+    plots = ts.SpatialVector.from_wkt(spark, ["POINT (15 15)", "POINT (105 105)"], crs="EPSG:1")
+    plan = sample.clhs(raster, 5, iterations=10, existing=plots)._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce 1" not in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import terrastrata as ts
-from terrastrata.operators import stratify
+from terrastrata.operators import constraints, stratify
 
 GT = (0.0, 10.0, 0.0, 100.0, 0.0, -10.0)
 
@@ -109,3 +111,55 @@ def test_write_and_read_back(spark, raster, tmp_path):
     assert (again.band(0) == out.band(0)).all() and again.strata == out.strata and again.meta.same_grid(raster.meta)
     with pytest.raises(ValueError):
         ts.breaks(raster, {"zq90": [5]}, filename="x.png")
+
+
+@pytest.mark.parametrize(("sketch", "brought"), [(10_000, 1_000_000), (40, 30), (12, 4)])
+def test_exact_quantiles_at_any_size(spark, monkeypatch, sketch, brought):
+    """Over normal, heavily tied, constant and empty bands; with coarse sketches and few values on the driver brackets are narrowed in rounds."""
+    monkeypatch.setattr(stratify, "SKETCH", sketch)
+    monkeypatch.setattr(stratify, "BROUGHT", brought)
+    r = np.random.default_rng(7)
+    bands = [r.normal(0, 5, (40, 50)), r.integers(0, 4, (40, 50)).astype(float), np.full((40, 50), 2.5), np.where(r.random((40, 50)) < 0.97, 1.0, r.normal(0, 1e9, (40, 50))), np.full((40, 50), np.nan)]
+    bands[0][r.random((40, 50)) < 0.1] = np.nan
+    rast = ts.SpatialRaster.from_numpy(spark, np.stack(bands), GT, ["a", "b", "c", "d", "e"], "EPSG:1")
+    ps = [0.001, 0.01, 0.25, 1 / 3, 0.5, 0.9, 0.999]
+    got = stratify.cutpoints(rast, {b: ps for b in rast.meta.bands})
+    for name, values in zip(rast.meta.bands, bands):
+        values = values[~np.isnan(values)]
+        want = np.quantile(values, ps).tolist() if len(values) else []
+        assert np.allclose(got[name], want, rtol=1e-12, atol=1e-6), name
+
+
+def test_exact_quantiles_of_more_distinct_values_than_a_map_would_hold(spark, monkeypatch):
+    """Two million distinct values: what reaches one task or the driver are sketches and some thousand values."""
+    n = 2_000_000
+    df = spark.range(n).select(F.lit(0).alias("row"), F.col("id").cast("int").alias("col"), ((F.col("id") * 7919) % n).cast("double").alias("v"))
+    rast = ts.SpatialRaster(df, ts.GridMeta(n, 1, GT, ("v",), "", (None,)))
+    brought = []
+    slots = stratify._slots
+    monkeypatch.setattr(stratify, "_slots", lambda *args: brought.append(slots(*args)) or brought[-1])
+    got = stratify.cutpoints(rast, {"v": [0.1, 0.5, 0.77]})["v"]
+    assert np.allclose(got, [(n - 1) * p for p in (0.1, 0.5, 0.77)])
+    assert brought[0].count() < 10_000
+    assert "percentile(" not in brought[0]._jdf.queryExecution().toString()
+
+
+def test_polygons_meet_pixels_without_a_shuffle(spark, raster, monkeypatch):
+    squares = [[[[k * 30 - 5.0, 0.0], [k * 30 + 45.0, 0.0], [k * 30 + 45.0, 95.0], [k * 30 - 5.0, 95.0], [k * 30 - 5.0, 0.0]]] for k in range(4)]
+    vect = ts.SpatialVector.from_rows(spark, "Polygon", squares, "p", "EPSG:1", {"kind": ["x", "y", "x", "z"]})
+    out = ts.poly(raster, vect, "p", "kind", ["x", ["y", "z"]])
+    plan = out.df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    near = out.band("strat_p")
+    monkeypatch.setattr(constraints, "BROADCAST_VERTICES", 0)
+    assert (near == ts.poly(raster, vect, "p", "kind", ["x", ["y", "z"]]).band("strat_p")).all()
+    # the largest fid counts where polygons overlap
+    assert near[5, 3] == 1 and near[5, 1] == 0 and near[5, 6] == 0 and near[0, 0] == -1
+
+
+def test_arguments_that_are_ignored(raster):
+    a = ts.quantiles(raster.select("pz2"), 4, False, "", 8, None, 0.001, False, 20, False)
+    b = ts.breaks(raster.select("pz2"), [20, 40], True, "", 4, {"COMPRESS": "LZW"}, False, 10)
+    assert a.band("strat_pz2").max() == 3 and b.band("strat_map").max() == 2
+    assert ts.map(b, thread_count=2, driver_options={}).band("strat_map").max() > 0
+    assert ts.pca(raster, 1, driver_options={}).meta.bands == ("comp_1",)
