@@ -5,8 +5,8 @@ documents and one of all documents, are estimated with add-one smoothing from ev
 mean, over its n-grams, of the difference of the two log-probabilities; it is kept if the ratio reaches a threshold, so
 that every document is decided alike in each run. All of it is DataFrame functions.
 
-The raw counts need no join. For those of the target a blocked Bloom filter of the target's ids, of bounded size, is broadcast: rows that cannot be in the target
-are not shuffled, and the rest meet the ids in an exact join.
+A blocked Bloom filter of the target's ids, of bounded size, is broadcast: rows that it stops cannot be in the target, and are counted without being
+shuffled; the rest meet the ids in an exact join.
 
 A null or empty text has no words: all counts are 0, its ratio is 0 and the base rules fail it. Repeated rows count as often as they
 stand. Where the target is empty, all ratios rest on the smoothing alone.
@@ -35,13 +35,14 @@ def _grams(w: Column, buckets: int) -> Column:
     return F.concat(one, two)
 
 
-def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, text: str = "text") -> list[int]:
-    """Counts of each bucket over all rows: ``buckets`` numbers, whatever the input."""
-    grams = docs.select(F.explode(_grams(words(F.col(f"`{text}`")), buckets)).alias("bucket"))
-    out = [0] * buckets
-    for bucket, n in grams.groupBy("bucket").agg(F.count("*")).collect():
-        out[bucket] = n
-    return out
+def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, text: str = "text", target: Column | None = None) -> tuple[list[int], list[int]]:
+    """Counts of each bucket over the rows for which ``target`` holds, and over all rows: ``buckets`` numbers, whatever the input."""
+    flag = F.lit(False) if target is None else F.coalesce(target, F.lit(False))
+    grams = docs.select(flag.alias("t"), F.explode(_grams(words(F.col(f"`{text}`")), buckets)).alias("bucket"))
+    inside, all_ = [0] * buckets, [0] * buckets
+    for bucket, n, some in grams.groupBy("bucket").agg(F.count("*"), F.count_if("t")).collect():
+        all_[bucket], inside[bucket] = n, some
+    return inside, all_
 
 
 def _places(id_: Column, blocks: int) -> tuple[Column, Column]:
@@ -51,7 +52,7 @@ def _places(id_: Column, blocks: int) -> tuple[Column, Column]:
 
 
 def possible(docs: DataFrame, ids: DataFrame, count: int, id_: str, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """The rows whose ``id_`` may be among ``ids`` (its first column), all that are and a few others.
+    """The rows with ``possible__``: whether their ``id_`` may be among ``ids`` (its first column); true of all that are and of a few others.
 
     The filter has blocks of 512 bits, one for 40 ids, and ``max_blocks`` at most; it is broadcast.
     """
@@ -61,9 +62,9 @@ def possible(docs: DataFrame, ids: DataFrame, count: int, id_: str, max_blocks:
     marks = marks.agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("mask")).groupBy("block__")
     filter_ = marks.agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("words__"))
     block, bits = _places(F.col(id_), blocks)
-    rows = docs.withColumn("block__", block).join(F.broadcast(filter_), "block__")
+    rows = docs.withColumn("block__", block).join(F.broadcast(filter_), "block__", "left")
     hit = lambda b: F.coalesce(F.try_element_at("words__", F.floor(b / 64).cast("int")), F.lit(0)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b % 64)) != 0
-    return rows.where(F.forall(bits, hit)).select(*docs.columns)
+    return rows.select(*docs.columns, F.forall(bits, hit).alias("possible__"))
 
 
 def log_ratios(target: list[int], raw: list[int]) -> list[float]:
@@ -139,7 +140,10 @@ def quality_rules(docs: DataFrame, target_ids: DataFrame, threshold: float = -0.
     """judge() over all rows; the target is the rows whose doc_id is in the first column of ``target_ids``."""
     ids = target_ids.select(F.col(f"`{target_ids.columns[0]}`").alias("target__")).where("target__ IS NOT NULL").distinct()
     rows = docs.select(F.col(f"`{doc_id}`").alias("id__"), F.col(f"`{text}`").alias("text__"))
+    marked = possible(rows, ids, ids.count(), "id__")
+    _, outside = bucket_counts(marked.where("NOT possible__"), buckets, "text__")
     # the list grows with the corpus: it is not broadcast, and a hash join spares sorting the texts
-    inside = possible(rows, ids, ids.count(), "id__").join(ids.hint("shuffle_hash"), F.col("id__") == F.col("target__"), "left_semi")
-    ratios = log_ratios(bucket_counts(inside, buckets, "text__"), bucket_counts(rows, buckets, "text__"))
+    met = marked.where("possible__").join(ids.hint("shuffle_hash"), F.col("id__") == F.col("target__"), "left")
+    inside, some = bucket_counts(met, buckets, "text__", F.col("target__").isNotNull())
+    ratios = log_ratios(inside, [a + b for a, b in zip(outside, some, strict=True)])
     return judge(docs, ratios, threshold, doc_id=doc_id, text=text)

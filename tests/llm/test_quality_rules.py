@@ -77,6 +77,17 @@ def test_filter_of_ids_loses_none_and_stops_most(spark):
     ids = spark.range(0, 30_000, 3).select("id")
     for most, allowed in ((1 << 18, 0.02), (40, 0.95), (1, 1.0)):
         got = quality_rules.possible(spark.range(30_000), ids, 10_000, "id", most)
-        kept = {r[0] for r in got.collect()}
-        assert kept >= set(range(0, 30_000, 3)) and got.columns == ["id"]
+        kept = {r["id"] for r in got.where("possible__").collect()}
+        assert kept >= set(range(0, 30_000, 3)) and got.columns == ["id", "possible__"] and got.count() == 30_000
         assert len(kept) - 10_000 <= allowed * 20_000
+
+
+def test_only_possible_rows_are_shuffled(spark, monkeypatch):
+    """The filter stands before the exchange of the texts."""
+    seen = []
+    counts = quality_rules.bucket_counts
+    monkeypatch.setattr(quality_rules, "bucket_counts", lambda docs, *a: seen.append(docs._jdf.queryExecution().executedPlan().toString()) or counts(docs, *a))
+    quality_rules.quality_rules(documents(spark, [(k, f"a b {k}") for k in range(40)]), spark.createDataFrame([(1,), (2,)], "doc_id long"))
+    assert len(seen) == 2 and "Exchange hashpartitioning(id__" not in seen[0]
+    below = seen[1][seen[1].index("Exchange hashpartitioning(id__") :]
+    assert "Filter forall" in below and "BroadcastHashJoin" in below
