@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry
 from ..operators import calculate, constraints, sample, stratify
 from ..operators.allocate import allocate, optimal_weights
+from ..session import checkpointed
 from ..sources.raster import Raster, quoted
 from ..sources.vector import Vector
 from . import grids, sql
@@ -146,6 +147,12 @@ def access_mask(spark, sf_dir):
     return constraints.accessible(constraints.placed(raster), raster.meta, grids.access_lines(spark), None, 60, 200).select("pix")
 
 
+@_register("access_all_touched", sql.access_all_touched())
+def access_all_touched(spark, sf_dir):
+    raster = grids.orders_grid(spark, sf_dir)
+    return constraints.accessible(constraints.placed(raster), raster.meta, grids.access_lines(spark), None, 60, 200, "all_touched").select("pix")
+
+
 @_register("access_area", sql.access_area())
 def access_area(spark, sf_dir):
     return constraints.accessible_area(grids.orders_grid(spark, sf_dir), grids.access_lines(spark), None, 60, 200)
@@ -246,9 +253,9 @@ def pca_two_band(spark, sf_dir):
     return _rounded(_pix(calculate.pca(grids.orders_grid(spark, sf_dir).select("b2", "b3"), 1)), 4, "comp_1")
 
 
-@_register("pca_three_band")
+@_register("pca_three_band", sql.pca_three_band())
 def pca_three_band(spark, sf_dir):
-    return _pix(calculate.pca(grids.orders_grid(spark, sf_dir), 3))
+    return _rounded(_pix(calculate.pca(grids.orders_grid(spark, sf_dir), 3)), 4, "comp_1", "comp_2", "comp_3")
 
 
 def _first_fifty(spark, sf_dir) -> tuple[Raster, DataFrame]:
@@ -276,7 +283,30 @@ def clhs_corr(spark, sf_dir):
 
 @_register("clhs_samples")
 def clhs_samples(spark, sf_dir):
-    return sample.clhs(grids.orders_grid(spark, sf_dir), 50, iterations=2000)
+    return sample.clhs(grids.orders_grid(spark, sf_dir), 50)
+
+
+def _spread(raster: Raster, samples: DataFrame, num_samples: int) -> int:
+    """How far samples are from one in each quantile bin of each band."""
+    counts = [r["n"] for r in sample.clhs_bins(raster, samples, num_samples).collect()]
+    return sum(abs(n - 1) for n in counts) + num_samples * len(raster.meta.bands) - len(counts)
+
+
+@_register("clhs_checks", sql.clhs_checks())
+def clhs_checks(spark, sf_dir):
+    """Of annealed samples: their number, that of their pixels, of those with data in all bands, and whether the bins fit better than those of random samples."""
+    raster = grids.orders_grid(spark, sf_dir)
+    got = checkpointed(sample.clhs(raster, 50))
+    data = raster.df.dropna(how="any", subset=list(raster.meta.bands))
+    random = sample.srs(Raster(data, raster.meta), 50)
+    met = got.join(data.select("row", "col"), ["row", "col"], "left_semi").count()
+    better = _spread(raster, got, 50) < _spread(raster, random, 50)
+    return got.select(F.count("*").alias("samples"), F.count_distinct("row", "col").alias("pixels"), F.lit(met).cast("long").alias("with_data"), F.lit(better).alias("better"))
+
+
+@_register("vector_wkt", sql.vector_wkt())
+def vector_wkt(spark, sf_dir):
+    return Vector.from_wkt(spark, ["LINESTRING (1.5 -2, 30 4, 30 5.5)", "MULTILINESTRING ((0 0, 1 1), (5 5, 6 7))"]).segments()
 
 
 @_register("downsampled", sql.downsampled())

