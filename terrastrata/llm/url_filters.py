@@ -4,7 +4,8 @@ Level 1 of the cascade encodes the listed keys; level 2 the other keys of the co
 level 3 the listed keys that level 2 lets through; and so on until a level has no false positive over the complete
 key universe. Then each key of the corpus is told apart exactly by the filters alone: pages are not joined with a list.
 
-The keys are a url's host and its parent domains. Filters larger than ``max_bytes`` in all are not broadcast at once: keys are
+The keys are a url's host and its parent domains, as far as they have no more labels than some listed key: longer ones cannot be listed, and a host of very many labels costs no
+more than others. Filters larger than ``max_bytes`` in all are not broadcast at once: keys are
 cut into shards by hash, each with a cascade of its own, and pages pass one shard after the other.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule, is on no list, and is allowed. Repeated
@@ -48,11 +49,13 @@ def longest_rule(host_: Column, path_: Column, rules: list[tuple[str, str]]) ->
     return out
 
 
-def domains(host_: Column) -> Column:
-    """The host and its parent domains; none for an empty host."""
+def domains(host_: Column, most: int | None = None) -> Column:
+    """The host and its parent domains, of ``most`` labels or fewer if given; none for an empty host."""
     parts = F.split(host_, r"\.")
-    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
-    return F.when(host_ == "", F.array().cast("array<string>")).otherwise(up)
+    n = F.size(parts)
+    first = F.lit(1) if most is None else F.greatest(F.lit(1), n - most + 1)
+    up = F.transform(F.sequence(first, n), lambda k: F.array_join(F.slice(parts, k, n), "."))
+    return F.when((host_ == "") if most != 0 else F.lit(True), F.array().cast("array<string>")).otherwise(up)
 
 
 @dataclass(frozen=True)
@@ -167,13 +170,14 @@ def judge(
     """
     list_ = list_.select(F.translate(F.col(f"`{list_.columns[0]}`"), _UPPER, _LOWER).alias("key")).where("key <> ''").distinct()
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), host(F.col(f"`{url}`")).alias("host"), path(F.col(f"`{url}`")).alias("path"))
-    universe = checkpointed(rows.select("host").distinct().select(F.explode(domains(F.col("host"))).alias("key")).distinct())
+    most = list_.agg(F.max(F.size(F.split("key", r"\.")))).first()[0] or 0
+    universe = checkpointed(rows.select("host").distinct().select(F.explode(domains(F.col("host"), most)).alias("key")).distinct())
     cascades = shards(list_, universe, max_bytes)
     rows = rows.withColumn("hit", F.lit(False))
     for number, levels in enumerate(cascades):
         sent = pages.sparkSession.sparkContext.broadcast(levels)
 
-        mine = F.filter(domains(F.col("host")), lambda k: F.pmod(F.xxhash64(k), F.lit(len(cascades))) == number)
+        mine = F.filter(domains(F.col("host"), most), lambda k: F.pmod(F.xxhash64(k), F.lit(len(cascades))) == number)
         rows = rows.withColumn("hit", F.col("hit") | _any_listed(sent)(mine))
         if len(cascades) > 1:
             rows = checkpointed(rows)

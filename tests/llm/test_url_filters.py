@@ -65,3 +65,18 @@ def test_repeated_rows_and_null_ids(spark):
     rows = pages(spark, ["http://x.y/"]).withColumn("page_id", F.lit(None).cast("long"))
     got = url_filters.judge(rows.unionByName(rows), listing(spark, ["X.y"]), []).collect()
     assert [(r["page_id"], r["verdict"]) for r in got] == [(None, "block")] * 2
+
+
+def test_very_long_urls(spark):
+    """Hosts of very many labels and paths of a million characters: judged like others, without a table of all parent domains of such a host."""
+    many = "a." * 200_000
+    urls = [f"http://{many}spam-farm.example.org/" + "p/" * 500_000, f"http://{many}example.com/en/" + "x" * 1_000_000, "http://" + "h" * 1_000_000, "x" * 1_000_000 + "://net/es/", "http://casino-win.example.org"] * 2
+    got = sorted(url_filters.judge(pages(spark, urls), listing(spark, LISTED_DOMAINS), URL_RULES).collect())
+    assert [tuple(r)[1:] for r in got] == [brute(u, LISTED_DOMAINS) for u in urls]
+
+
+def test_long_listed_domains_are_found(spark):
+    listed = ["com", "deep.er.and.deeper.example.net", "x"]
+    urls = ["http://deep.er.and.deeper.example.net/", "http://one.more.deep.er.and.deeper.example.net", "http://er.and.deeper.example.net", "http://a.com.", "http://x", "http://y.x", "http://x.y"]
+    got = sorted(url_filters.judge(pages(spark, urls), listing(spark, listed), []).collect())
+    assert [r["verdict"] for r in got] == ["block", "block", "allow", "allow", "block", "block", "allow"]
