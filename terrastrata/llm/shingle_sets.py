@@ -1,8 +1,6 @@
 """Near-duplicates by the Jaccard similarity of texts' sets of word shingles.
 
-Candidates come from MinHash: ``BANDS`` bands of ``ROWS`` minima each, of which a pair has to agree in one. A pair of similarity
-s is missed with probability (1 - s ** ROWS) ** BANDS: 7e-5 at 0.8, 8e-7 at 0.85. SimHash cannot give them: at 0.8 fingerprints
-differ in some 10 of 64 bits, up to 19, for which blocks have three bits and tries are all pairs.
+Candidates come from SimHash (see simhash.linked_sets): ``WORDS`` words of fingerprint bits for each set, the first of which is its print.
 
 Texts that candidates connect are one group, and in a group every pair is compared by its exact similarity (of sets of 64-bit
 shingle hashes), but for pairs that are connected already. Groups of more than ``part_size`` texts are cut into parts,
@@ -21,12 +19,12 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from .components import connected_components
 
-BANDS, ROWS = 24, 5
-#: Shingles of which all minima are formed at once.
-AT_ONCE = 1 << 12
-_rng = np.random.default_rng(20240229)
-_FLIPS = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
-_FACTORS = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+#: Words of 64 bits in a fingerprint.
+WORDS = 8
+#: Shingles whose bits are counted at once; a byte counts 255 of them.
+AT_ONCE = 255 * 16
+_FLIPS = np.random.default_rng(20240229).integers(0, 1 << 64, WORDS, dtype=np.uint64)
+_LOW_BITS = np.uint64(0x0101010101010101)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,30 +49,32 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(out)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One hash for each band of minima."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
+def fingerprint_words(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of ascending distinct hashes: a bit is the one that most of them have there, in a tie that of the smallest."""
+    ones = np.zeros((WORDS, 8, 8), np.int64)  # by word, byte and bit, each from the lowest on
     for k in range(0, len(hashes), AT_ONCE):
-        np.minimum(least, ((hashes[k : k + AT_ONCE, None] ^ _FLIPS) * _FACTORS).min(axis=0), out=least)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for minima in least.reshape(BANDS, ROWS).T:
-        out = _mixed(out * _STEP + minima)
-    return out
+        mixed = _mixed(hashes[k : k + AT_ONCE, None] ^ _FLIPS)
+        for bit in range(8):
+            sums = np.add.reduceat((mixed >> np.uint64(bit)) & _LOW_BITS, np.arange(0, len(mixed), 255), axis=0)
+            ones[:, :, bit] += sums.view(np.uint8).reshape(-1, WORDS, 8).sum(axis=0, dtype=np.int64)
+    tie = np.unpackbits(_mixed(hashes[:1, None] ^ _FLIPS).view(np.uint8), bitorder="little").reshape(-1, WORDS, 8, 8)
+    return np.packbits(2 * ones + tie.sum(axis=0) > len(hashes), bitorder="little").view(np.uint64)
 
 
 def sketch(text: Column, shingle: int) -> Column:
-    """Struct of fp, a hash of the whole set, and bands."""
+    """Struct of fp, a hash of the whole set, its print (the first word of the fingerprint) and the other words."""
 
-    @F.pandas_udf("struct<fp:long,bands:array<long>>")
+    @F.pandas_udf("struct<fp:long,print:long,words:array<long>>")
     def run(texts: pd.Series) -> pd.DataFrame:
         import xxhash
 
-        fps, each = np.empty(len(texts), np.uint64), []
+        fps, each = np.empty(len(texts), np.uint64), np.empty((len(texts), WORDS), np.uint64)
         for k, t in enumerate(texts):
             hashes = shingle_set(t, shingle)
             fps[k] = xxhash.xxh64_intdigest(hashes.tobytes())
-            each.append(bands(hashes).view(np.int64))
-        return pd.DataFrame({"fp": fps.view(np.int64), "bands": pd.Series(each, dtype=object)})
+            each[k] = fingerprint_words(hashes)
+        words = pd.Series(list(each[:, 1:].view(np.int64)), dtype=object)
+        return pd.DataFrame({"fp": fps.view(np.int64), "print": each[:, 0].view(np.int64), "words": words})
 
     return run(text)
 
@@ -127,15 +127,16 @@ def _stars(shingle: int, similarity: float):
     return run
 
 
-def components(docs: DataFrame, sets: DataFrame, id_: Column, text: Column, shingle: int, similarity: float, part_size: int) -> DataFrame:
+def components(docs: DataFrame, sets: DataFrame, edges: DataFrame, id_: Column, text: Column, shingle: int, similarity: float, part_size: int) -> DataFrame:
     """(node, root) for each fp that is connected to another over sets of at least that similarity.
 
-    sets: fp, bands and first (with doc_id and key, the XXH64 of the text, of a row of docs that has the set), stored, one row for each fp.
+    sets: fp, print and first (with doc_id and key, the XXH64 of the text, of a row of docs that has the set), stored, one row for each fp.
+    edges: (a, b) between prints; sets that these connect, or with the same print, are compared.
     """
-    banded = sets.select("fp", F.explode("bands").alias("band"))
-    shared = checkpointed(banded.groupBy("band").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b"))
-    star = banded.join(shared, "band").where("fp <> b").select(F.col("fp").alias("a"), "b")
-    groups = checkpointed(connected_components(star).withColumnRenamed("node", "fp"))
+    linked = checkpointed(connected_components(edges).withColumnRenamed("node", "print"))
+    shared = sets.groupBy("print").count().where("count > 1").select("print", F.col("print").alias("root"))
+    roots = linked.union(shared.join(linked, "print", "left_anti"))
+    groups = checkpointed(sets.select("fp", "print").join(roots, "print").select("fp", "root"))
     hot = groups.groupBy("root").count().where(F.col("count") > part_size).select("root", F.ceil(F.col("count") / part_size).cast("int").alias("parts"))
     rows = groups.join(hot, "root", "left").join(sets.select("fp", "first.doc_id", "first.key"), "fp")
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")

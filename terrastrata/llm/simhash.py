@@ -11,6 +11,9 @@ joined to components.
 A trie with more fingerprints than ``part_size`` (a hot group) is cut into parts, and each pair
 of parts is a trie of its own, so that no link is lost and no task is large.
 
+Sets of shingles are near by their Jaccard similarity, at which 64 bits are too few: at 0.8 some 10 of them differ, up to 19. Their fingerprints are longer
+(see shingle_sets), and each goes to as many tries as make it nearly sure that similar ones agree in the first bits of one of them (see _Wide).
+
 Null and empty texts have fingerprint zero and are linked like any other. A null doc_id is never the smallest; a
 component without any other doc_id has a null component_id. Repeated rows stay repeated.
 """
@@ -20,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from math import acos, ceil, comb, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -39,6 +43,10 @@ PAIRS_AT_ONCE, ROWS_AT_ONCE = 1 << 19, 1 << 17
 PART_SIZE = 1 << 14
 #: Pairs of nodes with no more pairs of leaves than this are compared leaf by leaf.
 FEW = 32
+#: Highest bits of a long fingerprint's key, the number of its trie.
+TURN_BITS = 12
+#: Long fingerprints in the mean trie at most.
+MEAN_TRIE = 512
 
 
 def fingerprint_of(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -74,11 +82,11 @@ def fingerprint(text: Column, shingle: int = 4, seed: int = 42) -> Column:
     return run(text)
 
 
-def trie_join(values: np.ndarray, bounds: np.ndarray, depth: int, budget: int) -> np.ndarray:
+def trie_join(values: np.ndarray, bounds: np.ndarray, depth: int, budget: int, more: np.ndarray | None = None) -> np.ndarray:
     """Roots of a spanning forest over all pairs within ``budget`` bits of each other.
 
     values: unsigned 64-bit, ascending within each group; group k is values[bounds[k]:bounds[k+1]], and its values agree in
-    the first ``depth`` bits. Returns the index of each value's root.
+    the first ``depth`` bits. more: 64 further bits of each, which count against the same budget. Returns the index of each value's root.
     """
     forest, ones = Forest(len(values)), {}
 
@@ -95,7 +103,7 @@ def trie_join(values: np.ndarray, bounds: np.ndarray, depth: int, budget: int) -
         d, alo, ahi, blo, bhi, off = stack.pop()
         few = (ahi - alo) * (bhi - blo) <= FEW if d < 64 else np.ones(len(alo), bool)
         if few.any():
-            _leaves(values, forest, alo[few], ahi[few], blo[few], bhi[few], budget)
+            _leaves(values, more, forest, alo[few], ahi[few], blo[few], bhi[few], budget)
             alo, ahi, blo, bhi, off = (x[~few] for x in (alo, ahi, blo, bhi, off))
         if not len(alo):
             continue
@@ -117,8 +125,15 @@ def trie_join(values: np.ndarray, bounds: np.ndarray, depth: int, budget: int) -
     return forest.roots(np.arange(len(values)))
 
 
-def _leaves(values, forest, alo, ahi, blo, bhi, budget) -> None:
+def _leaves(values, more, forest, alo, ahi, blo, bhi, budget) -> None:
     """Compares each leaf of the first nodes with each of the second, some nodes at a time."""
+    # of equal values a node has as many leaves as there are: large ones are compared piece by piece
+    step = np.maximum(PAIRS_AT_ONCE // (bhi - blo), 1)
+    pieces = -((alo - ahi) // step)
+    piece = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    alo, ahi, blo, bhi, step = (np.repeat(x, pieces) for x in (alo, ahi, blo, bhi, step))
+    alo = alo + piece * step
+    ahi = np.minimum(alo + step, ahi)
     sizes = (ahi - alo) * (bhi - blo)
     cuts = np.searchsorted(np.cumsum(sizes), np.arange(0, int(sizes.sum()) + 1, PAIRS_AT_ONCE), "right")
     for start, end in zip(cuts, [*cuts[1:], len(sizes)], strict=True):
@@ -129,7 +144,10 @@ def _leaves(values, forest, alo, ahi, blo, bhi, budget) -> None:
         k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         width = np.repeat((bhi - blo)[part], n)
         a, b = np.repeat(alo[part], n) + k // width, np.repeat(blo[part], n) + k % width
-        near = (a != b) & (np.bitwise_count(values[a] ^ values[b]) <= budget)
+        off = np.bitwise_count(values[a] ^ values[b])
+        if more is not None:
+            off = off + np.bitwise_count(more[a] ^ more[b])
+        near = (a != b) & (off <= budget)
         forest.join(a[near], b[near])
 
 
@@ -233,6 +251,121 @@ def linked_fingerprints(distinct: DataFrame, budget: int = 4, part_size: int = P
     return rows.mapInPandas(_links(budget, layout), "a long, b long")
 
 
+@dataclass(frozen=True)
+class _Wide:
+    """Tries of long fingerprints: in the first ``agreeing`` of the bits drawn for its trie a pair has to agree, and of the others and
+    the print's it may differ in ``budget``."""
+
+    agreeing: int
+    tries: int
+    budget: int
+
+    @staticmethod
+    def of(count: int, similarity: float) -> _Wide:
+        """The mean trie has no more than MEAN_TRIE fingerprints; a pair of that similarity is expected in 16 tries.
+
+        A bit of such a pair differs with probability angle / pi, the cosine being at least 2 s / (1 + s). The budget is four and a half deviations above the
+        differing bits, but so far below half the bits that few fingerprints have an unrelated one within it.
+        """
+        differ = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
+        agreeing = 0
+        while count >> agreeing > MEAN_TRIE and agreeing < 40 and 16 <= (1 << TURN_BITS) * (1 - differ) ** (agreeing + 1):
+            agreeing += 1
+        tries = ceil(16 / (1 - differ) ** agreeing)
+        bits = 128 - TURN_BITS - agreeing
+        most, budget, below = bits * differ + 4.5 * sqrt(bits * differ * (1 - differ)), -1, 0.0
+        while budget < most:
+            below += comb(bits, budget + 1) / 2**bits
+            if budget >= bits * differ and below * count * tries > 0.1 * 2**agreeing:
+                break
+            budget += 1
+        return _Wide(agreeing, tries, budget)
+
+    @property
+    def depth(self) -> int:
+        return TURN_BITS + self.agreeing
+
+    def keys(self, words: np.ndarray) -> Iterator[np.ndarray]:
+        """For each trie its number and the bits drawn for it, of words (unsigned, a row for each fingerprint)."""
+        bits = np.ascontiguousarray(np.unpackbits(words.view(np.uint8), axis=1).T)
+        rng = np.random.default_rng(20240301)
+        own = np.zeros((64, bits.shape[1]), np.uint8)
+        for turn in range(self.tries):
+            own[TURN_BITS:] = bits[rng.permutation(len(bits))[: 64 - TURN_BITS]]
+            key = np.ascontiguousarray(np.packbits(own, axis=0).T).view(">u8").ravel().astype(np.uint64)
+            yield key | np.uint64(turn << (64 - TURN_BITS))
+
+
+def linked_sets(sets: DataFrame, similarity: float = 0.8, part_size: int = PART_SIZE) -> DataFrame:
+    """Edges (a, b) that join the prints of sets (columns print and words, stored) near each other, as forests of the tries."""
+    layout = _Wide.of(sets.count(), similarity)
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            prints = batch["print"].to_numpy(np.int64)
+            for start in range(0, len(batch), 1 << 12):
+                words = np.array(batch["words"].iloc[start : start + (1 << 12)].tolist(), np.int64).view(np.uint64)
+                held = []
+                for key in layout.keys(words):
+                    held.append(key.view(np.int64))
+                    if len(held) == 16:
+                        yield pd.DataFrame({"key": np.concatenate(held), "print": np.tile(prints[start : start + (1 << 12)], 16)})
+                        held = []
+                if held:
+                    yield pd.DataFrame({"key": np.concatenate(held), "print": np.tile(prints[start : start + (1 << 12)], len(held))})
+
+    def joined(rows: pd.DataFrame) -> pd.DataFrame:
+        key, prints = rows["key"].to_numpy(np.int64).view(np.uint64), rows["print"].to_numpy(np.int64)
+        starts = np.flatnonzero(_starts(rows, layout.depth))
+        roots = trie_join(key, np.append(starts, len(key)), layout.depth, layout.budget, prints.view(np.uint64))
+        linked = np.flatnonzero(prints != prints[roots])
+        return pd.DataFrame({"a": prints[linked], "b": prints[roots[linked]]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= ROWS_AT_ONCE:
+                all_ = pd.concat(held, ignore_index=True)
+                last = int(np.flatnonzero(_starts(all_, layout.depth))[-1])
+                if last:
+                    yield joined(all_[:last])
+                held, rows = [all_[last:]], len(all_) - last
+        if rows:
+            yield joined(pd.concat(held, ignore_index=True))
+
+    fields = "key long, print long"
+    trie = F.shiftrightunsigned("key", 64 - layout.depth)
+    # sizes are taken from a sample of the prints: what it gets wrong makes a task larger or smaller, but loses no link
+    share = max(1, part_size // 64)
+    some = sets.select("print", "words").where(F.pmod(F.xxhash64("print", F.lit(1)), F.lit(share)) == 0).mapInPandas(keyed, fields)
+    hot = some.groupBy(trie.alias("trie")).agg((F.count("*") * share).alias("n")).where(F.col("n") > part_size)
+    hot = checkpointed(hot.select("trie", F.ceil(F.col("n") / part_size).cast("int").alias("parts")))
+    rows, count = sets.select("print", "words").mapInPandas(keyed, fields), hot.count()
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    if count:
+        rows = rows.withColumn("trie", trie).join(F.broadcast(hot) if count <= 1 << 17 else hot, "trie", "left")
+        part = F.pmod(F.xxhash64("print"), F.col("parts")).cast("int")
+        others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("part"))
+        pairs = F.transform(others, lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j")))
+        rows = rows.withColumn("part", part).withColumn("pair", F.explode(F.when(F.col("parts") > 1, pairs).otherwise(alone)))
+        rows = rows.select("key", "print", "pair.i", "pair.j")
+    else:
+        rows = rows.select("key", "print", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    rows = rows.repartition(trie, "i", "j").sortWithinPartitions("i", "j", "key")
+    return rows.mapInPandas(run, "a long, b long")
+
+
+def _starts(rows: pd.DataFrame, depth: int) -> np.ndarray:
+    """Whether a trie, or a pair of its parts, begins at each row."""
+    trie = rows["key"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - depth)
+    i, j = rows["i"].to_numpy(), rows["j"].to_numpy()
+    out = np.ones(len(rows), bool)
+    out[1:] = (trie[1:] != trie[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    return out
+
+
 def _components(prints: DataFrame, budget: int, part_size: int, by: str = "doc_id") -> DataFrame:
     """fp and component_id, the smallest ``by`` of its component, of each fingerprint in prints."""
     smallest = checkpointed(prints.groupBy("fp").agg(F.min(by).alias("first")))
@@ -262,7 +395,8 @@ def near_duplicates(
 def first_of_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, part_size: int = 256) -> DataFrame:
     """One row, with all its columns, of each component: of those with the smallest doc_id, one with the smallest hash of its text.
 
-    Texts are linked if the Jaccard similarity of their sets of word shingles is at least ``similarity`` (see shingle_sets). A row
+    Texts are linked if the Jaccard similarity of their sets of word shingles is at least ``similarity``: SimHash tries give the
+    candidates (see linked_sets), all of which are compared exactly (see shingle_sets). A row
     without a doc_id stays only if no row of its component has one. Rows are told apart by doc_id and text, so a doc_id that
     other texts have too, or none, costs no other row its place; of rows with the same of both one stays. Texts without words
     say nothing of being copies, so all of them stay.
@@ -271,8 +405,9 @@ def first_of_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = docs.select(id_.alias("doc_id"), F.xxhash64(text_).alias("key"), text_.alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     prints = checkpointed(prints.select("doc_id", "key", rank.alias("rank"), shingle_sets.sketch(F.col("text"), shingle).alias("s")).select("doc_id", "key", "rank", "s.*"))
-    sets = checkpointed(prints.groupBy("fp").agg(F.min("rank").alias("first"), F.first("bands").alias("bands")))
-    component = _firsts(sets, shingle_sets.components(docs, sets, id_, text_, shingle, similarity, part_size))
+    sets = checkpointed(prints.groupBy("fp").agg(F.min("rank").alias("first"), F.first("print").alias("print"), F.first("words").alias("words")))
+    edges = linked_sets(sets, similarity)
+    component = _firsts(sets, shingle_sets.components(docs, sets, edges, id_, text_, shingle, similarity, part_size))
     return _chosen(docs, prints, component, id_, text_)
 
 

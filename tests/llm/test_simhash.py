@@ -3,7 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from terrastrata.llm import components, simhash
+from terrastrata.llm import components, shingle_sets, simhash
 from terrastrata.llm.components import connected_components
 
 from .cases import TEXTS, brute_words, documents, no_documents, odd_documents
@@ -180,3 +180,73 @@ def test_components_of_random_graphs(spark, monkeypatch, small):
     got = connected_components(spark.createDataFrame([*pairs, (None, 3), (3, None)], "a long, b long")).collect()
     sets = lambda items: sorted(sorted(n for n, g in items if g == root) for root in {g for _, g in items})
     assert sets([(x["node"], x["root"]) for x in got]) == sets(list(group.items()))
+
+
+def brute_long_fingerprint(hashes):
+    """512 bits of the majority of each shingle's hashes, in a tie the bit of the smallest."""
+    out = []
+    for flip in shingle_sets._FLIPS:
+        mixed = [int(x) for x in shingle_sets._mixed(hashes ^ flip)]
+        for b in range(64):
+            ones = sum(m >> b & 1 for m in mixed)
+            out.append(2 * ones > len(mixed) or (2 * ones == len(mixed) and mixed[0] >> b & 1 == 1))
+    return np.array(out, bool)
+
+
+@pytest.mark.parametrize("count", [1, 2, 4, 9, 256, 300])
+def test_long_fingerprints_are_majorities(count):
+    hashes = np.unique(np.random.default_rng(count).integers(0, 1 << 64, count, dtype=np.uint64))
+    words = shingle_sets.fingerprint_words(hashes)
+    got = np.array([int(w) >> b & 1 for w in words for b in range(64)], bool)
+    assert (got == brute_long_fingerprint(hashes)).all()
+
+
+def stored_sets(spark, texts):
+    words = [shingle_sets.fingerprint_words(shingle_sets.shingle_set(t, 5)).view(np.int64).tolist() for t in texts]
+    return [w[0] for w in words], spark.createDataFrame([(w[0], w[1:]) for w in words], "print long, words array<long>")
+
+
+@pytest.mark.parametrize("part_size", [simhash.PART_SIZE, 20])
+def test_simhash_tries_give_the_candidates_of_jaccard(spark, monkeypatch, part_size):
+    """All pairs of a similarity of 0.8 or more are connected by tries of SimHash fingerprints, and no texts without a shared shingle are."""
+    monkeypatch.setattr(simhash, "MEAN_TRIE", 16)
+    texts = [t for seed in range(8) for t in near_copies(15, 120, 5, 60 + seed)]
+    sets = [brute_sets(t) for t in texts]
+    prints, table = stored_sets(spark, texts)
+    edges = simhash.linked_sets(table.repartition(3), part_size=part_size).collect()
+    group = {p: p for p in prints}
+    for a, b in edges:
+        group = {p: group[b] if g == group[a] else g for p, g in group.items()}
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    far = sum((prints[i] ^ prints[j]).bit_count() > 4 for i, j in near)
+    assert simhash._Wide.of(len(texts), 0.8).agreeing == 3 and len(near) > 100 and far > 100
+    assert all(group[prints[i]] == group[prints[j]] for i, j in near)
+    of = dict(zip(prints, sets, strict=True))
+    assert all(of[a] & of[b] for a, b in edges)
+
+
+def test_first_of_group_has_no_candidates_but_those_of_the_tries(spark, monkeypatch):
+    texts = near_copies(6, 200, 1, 70)
+    docs = documents(spark, [*enumerate(texts), (9, texts[0])])
+    assert [r["doc_id"] for r in simhash.first_of_group(docs).collect()] == [0]
+    monkeypatch.setattr(simhash, "linked_sets", lambda *a, **k: spark.createDataFrame([], "a long, b long"))
+    first = {}
+    for k, t in [*enumerate(texts), (9, texts[0])]:
+        first.setdefault(shingle_sets.fingerprint_words(shingle_sets.shingle_set(t, 5))[0], k)
+    # left to themselves, only equal prints are compared
+    assert sorted(r["doc_id"] for r in simhash.first_of_group(docs).collect()) == sorted(first.values())
+
+
+def test_trie_join_counts_further_bits_and_splits_large_leaves(monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 64)
+    r = np.random.default_rng(3)
+    values = np.sort(np.repeat(r.integers(0, 1 << 64, 12, dtype=np.uint64), 25))
+    more = np.repeat(r.integers(0, 1 << 64, 100, dtype=np.uint64), 3) ^ (np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64))
+    roots = simhash.trie_join(values, np.array([0, 300]), 0, 2, more)
+    want = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            if (int(values[i]) ^ int(values[j])).bit_count() + (int(more[i]) ^ int(more[j])).bit_count() <= 2:
+                low, high = sorted((want[i], want[j]))
+                want = [low if g == high else g for g in want]
+    assert roots.tolist() == want and len(set(want)) < 250
