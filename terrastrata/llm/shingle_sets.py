@@ -3,7 +3,7 @@
 Candidates come from SimHash (see simhash.linked_sets): ``WORDS`` words of fingerprint bits for each set, the first of which is its print.
 
 Texts that candidates connect are one group, and in a group every pair is compared by its exact similarity (of sets of 64-bit
-shingle hashes), but for pairs that are connected already. Groups of more than ``part_size`` texts are cut into parts,
+shingle hashes), in small groups but for pairs that are connected already. Groups of more than ``part_size`` texts, or very long ones, are cut into parts,
 and each pair of parts is compared on its own, so that no pair is lost and no task is large. Equal sets are reduced to one before.
 """
 
@@ -17,12 +17,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .components import connected_components
+from .components import Forest, connected_components
 
 #: Words of 64 bits in a fingerprint.
 WORDS = 8
 #: Shingles whose bits are counted at once; a byte counts 255 of them.
 AT_ONCE = 255 * 16
+#: Sets that are compared one by one; of more than these all pairs are at once.
+FEW = 8
+#: Elements whose bits are compared at once; a multiple of 64.
+BITS_AT_ONCE = 1 << 12
+#: Shingles of the sets in one part of a group, on the average, at most.
+PART_SHINGLES = 1 << 20
 _FLIPS = np.random.default_rng(20240229).integers(0, 1 << 64, WORDS, dtype=np.uint64)
 _LOW_BITS = np.uint64(0x0101010101010101)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -62,19 +68,20 @@ def fingerprint_words(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch(text: Column, shingle: int) -> Column:
-    """Struct of fp, a hash of the whole set, its print (the first word of the fingerprint) and the other words."""
+    """Struct of fp, a hash of the whole set, its size, its print (the first word of the fingerprint) and the other words."""
 
-    @F.pandas_udf("struct<fp:long,print:long,words:array<long>>")
+    @F.pandas_udf("struct<fp:long,size:long,print:long,words:array<long>>")
     def run(texts: pd.Series) -> pd.DataFrame:
         import xxhash
 
-        fps, each = np.empty(len(texts), np.uint64), np.empty((len(texts), WORDS), np.uint64)
+        fps, sizes, each = np.empty(len(texts), np.uint64), np.empty(len(texts), np.int64), np.empty((len(texts), WORDS), np.uint64)
         for k, t in enumerate(texts):
             hashes = shingle_set(t, shingle)
+            sizes[k] = len(hashes)
             fps[k] = xxhash.xxh64_intdigest(hashes.tobytes())
             each[k] = fingerprint_words(hashes)
         words = pd.Series(list(each[:, 1:].view(np.int64)), dtype=object)
-        return pd.DataFrame({"fp": fps.view(np.int64), "print": each[:, 0].view(np.int64), "words": words})
+        return pd.DataFrame({"fp": fps.view(np.int64), "size": sizes, "print": each[:, 0].view(np.int64), "words": words})
 
     return run(text)
 
@@ -89,8 +96,34 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (least + most - common) - 1e-9
 
 
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the sets has in common with each: those that only one set has are left out, of the others each set has a row of bits."""
+    elements, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, at = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), at.ravel()
+    shared = np.bincount(at, minlength=len(elements)) > 1
+    owner, at = owner[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]
+    out, order = np.zeros((len(sets), len(sets)), np.int64), np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for low in range(0, int(shared.sum()), BITS_AT_ONCE):
+        part = slice(*np.searchsorted(at, [low, low + BITS_AT_ONCE]))
+        bits = np.zeros((len(sets), BITS_AT_ONCE), bool)
+        bits[owner[part], at[part] - low] = True
+        rows = np.packbits(bits, axis=1).view(np.uint64)
+        for k in range(len(sets)):
+            out[k, k:] += np.bitwise_count(rows[k:] & rows[k]).sum(axis=1, dtype=np.int64)
+    out = np.maximum(out, out.T)
+    np.fill_diagonal(out, [len(x) for x in sets])
+    return out
+
+
 def connected(sets: list[np.ndarray], similarity: float) -> list[list[int]]:
-    """Components over all pairs of at least that similarity; each set is compared with those of other components only."""
+    """Components over all pairs of at least that similarity; of a few sets each is compared with those of other components only."""
+    if len(sets) > FEW:
+        sizes, both, forest = np.array([len(x) for x in sets]), common(sets), Forest(len(sets))
+        forest.join(*np.nonzero(both >= similarity * (sizes[:, None] + sizes - both) - 1e-9))
+        roots = forest.roots(np.arange(len(sets)))
+        order = np.argsort(roots, kind="stable")
+        return [part.tolist() for part in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1)]
     trees: list[list[int]] = []
     for k, own in enumerate(sets):
         mine, others = [k], []
@@ -130,15 +163,16 @@ def _stars(shingle: int, similarity: float):
 def components(docs: DataFrame, sets: DataFrame, edges: DataFrame, id_: Column, text: Column, shingle: int, similarity: float, part_size: int) -> DataFrame:
     """(node, root) for each fp that is connected to another over sets of at least that similarity.
 
-    sets: fp, print and first (with doc_id and key, the XXH64 of the text, of a row of docs that has the set), stored, one row for each fp.
+    sets: fp, size, print and first (with doc_id and key, the XXH64 of the text, of a row of docs that has the set), stored, one row for each fp.
     edges: (a, b) between prints; sets that these connect, or with the same print, are compared.
     """
     linked = checkpointed(connected_components(edges).withColumnRenamed("node", "print"))
     shared = sets.groupBy("print").count().where("count > 1").select("print", F.col("print").alias("root"))
     roots = linked.union(shared.join(linked, "print", "left_anti"))
-    groups = checkpointed(sets.select("fp", "print").join(roots, "print").select("fp", "root"))
-    hot = groups.groupBy("root").count().where(F.col("count") > part_size).select("root", F.ceil(F.col("count") / part_size).cast("int").alias("parts"))
-    rows = groups.join(hot, "root", "left").join(sets.select("fp", "first.doc_id", "first.key"), "fp")
+    groups = checkpointed(sets.select("fp", "print", "size").join(roots, "print").select("fp", "root", "size"))
+    parts = F.ceil(F.greatest(F.count("*") / part_size, F.least(F.count("*"), F.sum("size") / PART_SHINGLES))).cast("int")
+    hot = groups.groupBy("root").agg(parts.alias("parts")).where("parts > 1")
+    rows = groups.drop("size").join(hot, "root", "left").join(sets.select("fp", "first.doc_id", "first.key"), "fp")
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("part"))
     pairs = F.transform(others, lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j")))

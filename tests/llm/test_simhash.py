@@ -250,3 +250,40 @@ def test_trie_join_counts_further_bits_and_splits_large_leaves(monkeypatch):
                 low, high = sorted((want[i], want[j]))
                 want = [low if g == high else g for g in want]
     assert roots.tolist() == want and len(set(want)) < 250
+
+
+def test_unrelated_sets_are_hardly_ever_candidates(spark):
+    """One of ten had an unrelated candidate, and these joined groups of copies to groups that grew faster than the corpus."""
+    words = np.random.default_rng(9).integers(-(1 << 63), (1 << 63) - 1, (20000, shingle_sets.WORDS))
+    table = spark.createDataFrame([(int(w[0]), w[1:].tolist()) for w in words], "print long, words array<long>")
+    assert simhash.linked_sets(table.repartition(4)).count() <= 60
+
+
+@pytest.mark.parametrize("few", [1, 200, 1 << 18])
+def test_trie_join_compares_nodes_as_a_whole(monkeypatch, few):
+    monkeypatch.setattr(simhash, "DENSE", min(few, 1000))
+    r = np.random.default_rng(12)
+    base = r.integers(0, 1 << 64, (40, 3), dtype=np.uint64)
+    rows = np.repeat(base, 6, axis=0) ^ (r.integers(0, 1 << 64, (240, 3), dtype=np.uint64) & r.integers(0, 1 << 64, (240, 3), dtype=np.uint64) & r.integers(0, 1 << 64, (240, 3), dtype=np.uint64))
+    rows = rows[np.argsort(rows[:, 0])]
+    bounds = np.array([0, 100, 240])
+    roots = simhash.trie_join(np.ascontiguousarray(rows[:, 0]), bounds, 0, 40, rows[:, 1:], few)
+    want = list(range(240))
+    for i in range(240):
+        for j in range(i):
+            if (i < 100) == (j < 100) and np.bitwise_count(rows[i] ^ rows[j]).sum() <= 40:
+                low, high = sorted((want[i], want[j]))
+                want = [low if g == high else g for g in want]
+    assert roots.tolist() == want and 20 < len(set(want)) < 220
+
+
+def test_common_elements_and_components_of_many_sets(monkeypatch):
+    monkeypatch.setattr(shingle_sets, "BITS_AT_ONCE", 64)
+    sets = [shingle_sets.shingle_set(t, 5) for seed in range(4) for t in near_copies(12, 150, 6, 90 + seed)] + [shingle_sets.shingle_set("a b", 5)]
+    both = shingle_sets.common(sets)
+    as_sets = [set(s.tolist()) for s in sets]
+    assert both.tolist() == [[len(a & b) for b in as_sets] for a in as_sets]
+    at_once = shingle_sets.connected(sets, 0.8)
+    monkeypatch.setattr(shingle_sets, "FEW", len(sets))
+    assert sorted(map(sorted, at_once)) == sorted(map(sorted, shingle_sets.connected(sets, 0.8)))
+    assert 4 < len(at_once) < len(sets)
