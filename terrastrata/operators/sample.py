@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.rng import priority, uniform
-from ..session import checkpointed
+from ..session import checkpointed, scanned_again
 from ..sources.raster import Raster, quoted, strata_column
 from ..sources.vector import Vector
 from . import constraints, kernels
@@ -300,7 +300,7 @@ def clhs(
     if replace and existing is None:
         warnings.warn("replace has no effect without existing plots", stacklevel=2)
     bands, n = list(rast.meta.bands), num_samples
-    complete = rast.df.dropna(how="any", subset=bands)
+    complete = scanned_again(rast.df).dropna(how="any", subset=bands)
     whole = Raster(complete, rast.meta)
     cuts = cutpoints(whole, {b: [j / n for j in range(1, n)] for b in bands}, eps, exact)
     target = correlation_matrix(moments(whole, bands).first(), len(bands))
@@ -340,9 +340,10 @@ def clhs(
 def clhs_bins(rast: Raster, samples: DataFrame, num_samples: int, eps: float = 0.001, exact: bool = True) -> DataFrame:
     """(feature, bin, n): how many samples (row, col) lie in each of the population's quantile bins; empty bins are left out."""
     bands = list(rast.meta.bands)
-    whole = Raster(rast.df.dropna(how="any", subset=bands), rast.meta)
+    whole = Raster(scanned_again(rast.df).dropna(how="any", subset=bands), rast.meta)
     cuts = cutpoints(whole, {b: [j / num_samples for j in range(1, num_samples)] for b in bands}, eps, exact)
-    rows = whole.df.join(samples.select("row", "col"), ["row", "col"])
+    at = scanned_again(samples.select("row", "col"))
+    rows = whole.df.join(F.broadcast(at) if at.count() <= constraints.BROADCAST_PLOTS else at, ["row", "col"])
     each = F.explode(F.array(*[F.struct(F.lit(b).alias("feature"), binned(quoted(b), cuts[b]).alias("bin")) for b in bands]))
     return rows.select(each.alias("b")).groupBy("b.feature", "b.bin").agg(F.count("*").alias("n"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +27,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored in the shared checkpoint folder; survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scanned_again(df: DataFrame) -> DataFrame:
+    """``df`` for several scans: stored once if making it takes a shuffle, else as it is, since reading its input again costs less than writing it."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return checkpointed(df) if re.search(r"(?m)^[\s:+-]*(Join|Aggregate|Window|Sort|Distinct|Repartition|RebalancePartitions|GlobalLimit|FlatMapGroups|FlatMapCoGroups)", plan) else df

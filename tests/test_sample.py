@@ -3,6 +3,7 @@ import warnings
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import terrastrata as ts
 from terrastrata.operators import allocate, calculate, constraints, kernels
@@ -221,3 +222,18 @@ def test_pca(raster):
     for bad in (0, 4):
         with pytest.raises(ValueError):
             ts.pca(raster, bad)
+
+
+def test_clhs_makes_a_raster_that_takes_a_shuffle_only_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    pixels = spark.range(400).groupBy("id").agg(F.count("*").alias("n"))
+    at = pixels.select((F.col("id") / 20).cast("int").alias("row"), (F.col("id") % 20).cast("int").alias("col"), counted((F.col("id") * 7 % 101).cast("double")).alias("b"))
+    grid = ts.Raster.from_dataframe(at, 20, 20, (0.0, 1.0, 0.0, 20.0, 0.0, -1.0), bands=["b"])
+    rows = ts.clhs(grid, 5, iterations=20)
+    assert rows.count() == 5 and seen.value == 400
